@@ -8,15 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import fresh_path
-from . import packing, token_orc
+from . import decontamination, licenses, packing, quality, sharding, simhash, token_orc, toxicity
 from .tokens import vocabulary_path
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
+TOXIC_FROM = 0.7
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return _table(spark, sf_dir, "documents")
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,18 +31,60 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place(digest, 2048)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), _table(spark, sf_dir, "labels")
+    held_out = toxicity.held_out(F.col("doc_id"))
+    model = toxicity.train(docs.filter(~held_out), labels.filter(~held_out))
+    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= TOXIC_FROM, 1).otherwise(0))
+
+
+def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    rows = _documents(spark, sf_dir).select("doc_id", "lang", "source", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    sharded = sharding.hilbert_shards(rows, ["lang", "source", "size"], 24, ["size", "text_crc32", "doc_id"])
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-orc")
     token_orc.write_token_orc(_documents(spark, sf_dir), path, vocabulary_path(WORD_VOCABULARY), 2, spaced=False)
     return token_orc.ids_checksum(token_orc.read_token_orc(spark, path))
 
 
+def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = quality.document_counts(_documents(spark, sf_dir))
+    trees = quality.train(counts, _table(spark, sf_dir, "labels"))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    judged = quality.with_verdict(counts, trees)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("good")).alias("kept"), "quality_score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_license_scan": op2_license_scan,
+        "op3_toxicity": op3_toxicity,
+        "op4_hilbert_shards": op4_hilbert_shards,
+        "op6_simhash": op6_simhash,
+        "op7_spaced_seeds": op7_spaced_seeds,
         "op9_token_orc": op9_token_orc,
+        "op10_quality_trees": op10_quality_trees,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_license_scan": licenses.scan_sql()}
