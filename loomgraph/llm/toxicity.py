@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier over the presence of words is trained with numpy from
+A linear classifier over words and beginnings of words is trained with numpy from
 confirmed toxic documents and unlabelled ones.  The risk of the unlabelled
 class is corrected by the class prior and kept from falling below zero (Kiryo
 et al., 2017): R = prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)).
@@ -15,6 +15,7 @@ only the text is an input of a score.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,27 +27,61 @@ from pyspark.sql import functions as F
 from ..storage import materialise
 
 #: Documents that training reads at most.
-POSITIVES = 5_000
-UNLABELLED = 15_000
-#: Words that the classifier looks at.
+POSITIVES = 3_000
+UNLABELLED = 9_000
+#: Features that the classifier looks at.
 VOCABULARY = 4_096
+#: Least G statistic of such a word; chance exceeds it for one word in 100,000.
+SIGNIFICANT = 20.0
+#: Bytes of the beginnings of words that count as features, and levels of distinct words with the same one.
+STEMS = (4, 5, 6, 7, 8)
+LEVELS = (1, 2, 4)
+#: Words whose features a worker remembers.
+MEMORY = 500_000
 #: ASCII punctuation counts as blank.
 BLANKS = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
 
-def text_words(text: bytes) -> set[bytes]:
-    """Distinct words in lower case (A-Z), without ASCII punctuation."""
-    return set(text.lower().translate(BLANKS).split())
+def word_marks(word: bytes) -> list[bytes]:
+    """A word itself and its proper beginnings, which stand for a stem."""
+    return [word, *(word[:n] + b"*" for n in STEMS if n < len(word))]
+
+
+def text_words(text: str) -> set[bytes]:
+    """Distinct words in lower case, without ASCII punctuation."""
+    return set(text.lower().encode().translate(BLANKS).split())
+
+
+def text_features(text: str) -> list[bytes]:
+    """Marks of the words of a text; a mark of several distinct words comes once more at each level it reaches."""
+    counts = Counter(m for w in text_words(text) for m in word_marks(w))
+    return [m if k == 1 else m + b"#%d" % k for m, n in counts.items() for k in LEVELS if n >= k]
 
 
 @dataclass
 class Model:
-    words: dict[bytes, float]
+    """Weights of features; ``marks`` are the marks that any feature needs."""
+
+    weights: dict[bytes, float]
     bias: float
 
-    def score(self, text: bytes) -> float:
-        found = text_words(text)
-        margin = self.bias + sum([self.words[w] for w in found & self.words.keys()])
+    def __post_init__(self) -> None:
+        self.marks = {f.rsplit(b"#", 1)[0] for f in self.weights}
+        self.known: dict[bytes, list[bytes]] = {}
+
+    def score(self, text: str) -> float:
+        counts: Counter[bytes] = Counter()
+        known = self.known
+        for word in text_words(text):
+            found = known.get(word)
+            if found is None:
+                if len(known) > MEMORY:
+                    known.clear()
+                found = known[word] = [m for m in word_marks(word) if m in self.marks]
+            if found:
+                counts.update(found)
+        weights = self.weights
+        margin = self.bias + sum([weights.get(m if k == 1 else m + b"#%d" % k, 0.0) for m, n in sorted(counts.items()) for k in LEVELS if n >= k])
         return float(1 / (1 + np.exp(-np.clip(margin, -60, 60))))
 
 
@@ -74,14 +109,18 @@ def nn_pu(pos: list[np.ndarray], unl: list[np.ndarray], width: int, prior: float
     return weight, float(bias)
 
 
-def _vocabulary(sample: DataFrame, size: int) -> list[bytes]:
-    """Words of the sample that tell positive from unlabelled documents, by the G statistic."""
+def _vocabulary(sample: DataFrame, size: int, least: float) -> list[bytes]:
+    """Features that positive documents hold significantly more or less often, by the G statistic of their 2 x 2 table."""
     n_pos, n_all = sample.agg(F.sum("positive"), F.count(F.lit(1))).first()
     n_unl = n_all - n_pos
     counts = sample.select("positive", F.explode("words").alias("word")).groupBy("word").agg(F.sum("positive").alias("p"), F.sum(1 - F.col("positive")).alias("u"))
-    rate_p, rate_u = (F.col("p") + 0.5) / (n_pos + 1), (F.col("u") + 0.5) / (n_unl + 1)
-    gain = F.abs(F.log(rate_p / rate_u)) * F.abs(rate_p - rate_u)
-    return [bytes(r[0]) for r in counts.filter("p + u >= 3").orderBy(gain.desc(), "word").limit(size).select("word").collect()]
+
+    def term(seen: Column, of: int, part: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / (of * part))).otherwise(0.0)
+
+    share = (F.col("p") + F.col("u")) / n_all
+    g = 2 * (term(F.col("p"), n_pos, share) + term(F.col("u"), n_unl, share) + term(n_pos - F.col("p"), n_pos, 1 - share) + term(n_unl - F.col("u"), n_unl, 1 - share))
+    return [bytes(r[0]) for r in counts.withColumn("g", g).filter(F.col("g") >= least).orderBy(F.desc("g"), "word").limit(size).select("word").collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unlabelled: int = UNLABELLED, vocabulary: int = VOCABULARY) -> Model:
@@ -97,12 +136,12 @@ def train(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unl
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [sorted(text_words(t)) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            words = [sorted(text_features(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(words, pa.list_(pa.binary()))], ["positive", "words"])
 
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
     sample = materialise(texts.select("positive", "text").mapInArrow(split, "positive int, words array<binary>"), "toxicity-sample")
-    words = _vocabulary(sample, vocabulary)
+    words = _vocabulary(sample, vocabulary, SIGNIFICANT)
     index = {w: i for i, w in enumerate(words)}
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +163,7 @@ def score(text: Column, model: Model) -> Column:
 
     @F.arrow_udf("double")
     def apply(texts: pa.Array) -> pa.Array:
-        return pa.array([model.score(t) for t in texts.cast(pa.binary()).to_pylist()], pa.float64())
+        return pa.array([model.score(t) for t in texts.to_pylist()], pa.float64())
 
     return apply(F.coalesce(text, F.lit("")))
 
