@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import fresh_path
-from . import decontamination, licenses, packing, quality, sharding, simhash, token_orc, toxicity
+from . import decontamination, licenses, packing, phrase_dedup, quality, sharding, simhash, suffix_dedup, token_orc, toxicity
 from .tokens import vocabulary_path
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -50,6 +50,11 @@ def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = phrase_dedup.remove_repeats(_documents(spark, sf_dir), 20)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -59,6 +64,11 @@ def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.remove_repeats(_documents(spark, sf_dir), 50)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-orc")
     token_orc.write_token_orc(_documents(spark, sf_dir), path, vocabulary_path(WORD_VOCABULARY), 2, spaced=False)
@@ -79,8 +89,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_license_scan": op2_license_scan,
         "op3_toxicity": op3_toxicity,
         "op4_hilbert_shards": op4_hilbert_shards,
+        "op5_phrase_dedup": op5_phrase_dedup,
         "op6_simhash": op6_simhash,
         "op7_spaced_seeds": op7_spaced_seeds,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_token_orc": op9_token_orc,
         "op10_quality_trees": op10_quality_trees,
     }
