@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialise
-from .tokens import Encoder, append_id, text_slices
+from .tokens import append_id, shared_encoder, text_slices
 
 PIECES = "doc_id long, piece int, start long, length long, part int, rank long, ids binary"
 
@@ -40,7 +40,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, *
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(vocabulary, spaced), TaskContext.get().partitionId()
+        encoder, part = shared_encoder(vocabulary, spaced), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for rows in text_slices(batch):

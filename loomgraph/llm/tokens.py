@@ -151,6 +151,12 @@ class Encoder:
         return values, totals
 
 
+@lru_cache(maxsize=2)
+def shared_encoder(path: str, spaced: bool) -> Encoder:
+    """The encoder of this worker process, which keeps its pieces from task to task."""
+    return Encoder(path, spaced)
+
+
 def append_id(values: np.ndarray, totals: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Put ``end_id`` behind each text's ids."""
     out = np.full(len(values) + len(totals), end_id, np.uint32)
