@@ -24,18 +24,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import default_partitions
-from .tokens import Encoder, append_id, text_slices
+from .tokens import append_id, shared_encoder, text_slices
 
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 STRIPE_BYTES = 16 << 20
 ROW_INDEX_STRIDE = 1_000
+#: Files whose offsets are broadcast (16 bytes each).
+BROADCAST_FILES = 200_000
 
 
 def write_token_orc(docs: DataFrame, path: str, vocabulary: str, end_id: int, *, spaced: bool, files: int | None = None) -> None:
     """Write ``docs`` (doc_id, text) as ORC files below ``path``; ``part`` numbers them in id order."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, start = Encoder(vocabulary, spaced), TaskContext.get().partitionId(), 0
+        encoder, part, start = shared_encoder(vocabulary, spaced), TaskContext.get().partitionId(), 0
         for batch in batches:
             for piece in text_slices(batch):
                 values, totals = append_id(*encoder.encode(piece.column("text")), end_id)
@@ -66,7 +68,8 @@ def read_token_orc(spark: SparkSession, path: str) -> DataFrame:
     """Documents of the files with ``start``, the ids of all documents before each one.
 
     The offsets of files come from their ``n_tokens`` columns alone: one
-    number per file reaches the driver.
+    number per file reaches the driver, and goes back as a broadcast of as
+    many rows as there are files, unless these are over ``BROADCAST_FILES``.
     """
     rows = spark.read.schema(SCHEMA).orc(path)
     totals = sorted(tuple(r) for r in rows.groupBy("part").agg(F.sum("n_tokens")).collect())
@@ -75,6 +78,8 @@ def read_token_orc(spark: SparkSession, path: str) -> DataFrame:
         bases.append((part, base))
         base += total
     offsets = spark.createDataFrame(bases, "part int, base long")
+    if len(bases) <= BROADCAST_FILES:
+        offsets = F.broadcast(offsets)
     return rows.join(offsets, "part").select("doc_id", (F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", "ids")
 
 
