@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +49,7 @@ class Block:
         data = texts.buffers()[2]
         self.buffer = data.to_pybytes()[offsets[0] : offsets[-1]] if data is not None else b""
         self.starts, self.ends = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
+        self.kept = {n: batch.column(n).combine_chunks() for n in batch.column_names[3:]}
         extra = batch.column("extra").chunk(0)
         self.extra = np.frombuffer(extra[0].as_py(), np.uint32).astype(np.int64) if len(extra) else np.zeros(0, np.int64)
 
@@ -58,9 +60,11 @@ class Block:
         return pa.array(self.doc_id, mask=~self.known_id)
 
 
-def _pack(ids: list, texts: list[bytes], prepare: Callable[[Block], np.ndarray]) -> bytes:
+def _pack(rows: pa.Table, prepare: Callable[[Block], np.ndarray]) -> bytes:
+    """The rows (doc_id, text, extra, kept columns) as an Arrow stream; ``extra`` holds what ``prepare`` finds."""
+
     def payload(extra: bytes) -> bytes:
-        table = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.large_binary()), "extra": pa.array([extra] + [None] * (len(ids) - 1), pa.binary())})
+        table = rows.set_column(2, "extra", pa.array([extra] + [None] * (len(rows) - 1), pa.binary()))
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_table(table)
@@ -69,25 +73,44 @@ def _pack(ids: list, texts: list[bytes], prepare: Callable[[Block], np.ndarray])
     return payload(prepare(Block(payload(b""))).astype(np.uint32).tobytes())
 
 
-def make_blocks(docs: DataFrame, prepare: Callable[[Block], np.ndarray], block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, payload): a bucketed table of packed documents, with what ``prepare`` finds in each block."""
+def make_blocks(docs: DataFrame, prepare: Callable[[Block], np.ndarray], keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(block, payload): a bucketed table of packed documents, with what ``prepare`` finds in each block.
+
+    Columns named by ``keep`` travel along.
+    """
     spark = docs.sparkSession
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        ids, texts, size = [], [], 0
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal block, held, size
+            payload = _pack(pa.concat_tables(held).combine_chunks(), prepare)
+            out = pa.RecordBatch.from_arrays([pa.array([block]), pa.array([payload], pa.binary())], ["block", "payload"])
+            block, held, size = block + 1, [], 0
+            return out
+
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist()):
-                if ids and size + len(text) > block_bytes:
-                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_pack(ids, texts, prepare)])], ["block", "payload"])
-                    ids, texts, size, block = [], [], 0, block + 1
-                ids.append(doc_id)
-                texts.append(text)
-                size += len(text)
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_pack(ids, texts, prepare)])], ["block", "payload"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+            table = pa.Table.from_batches([batch])
+            table = table.set_column(1, "text", table.column("text").cast(pa.large_binary()))
+            table = table.add_column(2, "extra", pa.nulls(len(table), pa.binary()))
+            ends = np.cumsum(pc.binary_length(table.column("text")).to_numpy())
+            at = 0
+            while at < len(table):
+                base = ends[at - 1] if at else 0
+                stop = int(np.searchsorted(ends, base + block_bytes - size, side="right"))
+                if stop > at or not held:
+                    stop = max(stop, at + 1)
+                    held.append(table.slice(at, stop - at))
+                    size += int(ends[stop - 1] - base)
+                    at = stop
+                if at < len(table) or size >= block_bytes:
+                    yield flush()
+        if held:
+            yield flush()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *(keep or []))
     name = f"blocks_{uuid.uuid4().hex}"
     packed = rows.mapInArrow(pack, "block long, payload binary")
     (packed.write.format("parquet").option("compression", "none").option("path", fresh_path(spark, name)).bucketBy(default_partitions(spark), "block").saveAsTable(name))

@@ -160,34 +160,36 @@ def repeated_words(block: Block, given: list[dict[int, bytes]], shards: int, win
     return words, covered(starts[confirmed & ~original], window, n)
 
 
-def repeats(docs: DataFrame, window: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Blocks of documents and the answers of the first two rounds."""
-    blocks = make_blocks(docs, lambda block: phrase_anchors(block, window))
+def remove_repeats(docs: DataFrame, window: int = 20, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, n_words, n_removed, text) and the columns of ``keep``.
+
+    Texts that lose nothing stay as they are; of others, the runs of words
+    that are left follow each other after one blank.
+    """
+    names = ["doc_id", "n_words", "n_removed", "text", *(keep or [])]
 
     def which(block: Block, given: list, shards: int) -> dict[int, bytes]:
         keys = anchor_keys(Words(block).symbols, block.extra, PHRASE)
         unique, _, several = distinct_keys(keys, np.arange(len(keys)))
         return ask_repeats(unique, several, shards)
 
-    hot = ask(blocks, [], which, answer_repeats, "repeated-phrases")
-    confirmed = ask(blocks, [hot], lambda b, given, shards: _ask_windows(b, given, shards, window), _answer_windows, "repeated-windows")
-    return blocks, [hot, confirmed]
-
-
-def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
-    """(doc_id, n_words, n_removed, text): the words that are left, joined by one blank."""
-
     def rows(block: Block, given: list, shards: int) -> pa.RecordBatch:
         words, gone = repeated_words(block, given, shards, window)
         removed = np.concatenate([[0], np.cumsum(gone)])
         n_removed = removed[words.last] - removed[words.first]
         texts = []
-        for a, b in zip(words.first, words.last):
-            keep = a + np.flatnonzero(~gone[a:b])
-            texts.append(b" ".join([block.buffer[x:y] for x, y in zip(words.begin[keep], words.end[keep])]))
-        return pa.RecordBatch.from_arrays([block.ids(), pa.array(words.counts), pa.array(n_removed), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "text"])
-
-    blocks, answers = repeats(docs, window)
-    return finish(blocks, answers, rows, "doc_id long, n_words long, n_removed long, text string")
-
-
+        for i, (a, b) in enumerate(zip(words.first, words.last)):
+            if not n_removed[i]:
+                texts.append(block.buffer[block.starts[i] : block.ends[i]])
+                continue
+            step = np.diff(np.concatenate([[1], gone[a:b], [1]]).astype(np.int8))
+            runs = zip(words.begin[a + np.flatnonzero(step < 0)], words.end[a + np.flatnonzero(step > 0) - 1])
+            texts.append(b" ".join([block.buffer[x:y] for x, y in runs]))
+        return pa.RecordBatch.from_arrays([block.ids(), pa.array(words.counts), pa.array(n_removed), pa.array(texts, pa.binary()).cast(pa.string()), *block.kept.values()], names)
+
+    blocks = make_blocks(docs, lambda block: phrase_anchors(block, window), keep)
+    hot = ask(blocks, [], which, answer_repeats, "repeated-phrases")
+    confirmed = ask(blocks, [hot], lambda b, given, shards: _ask_windows(b, given, shards, window), _answer_windows, "repeated-windows")
+    kinds = dict(docs.dtypes)
+    fields = "".join(f", `{c}` {kinds[c]}" for c in keep or [])
+    return finish(blocks, [hot, confirmed], rows, "doc_id long, n_words long, n_removed long, text string" + fields)

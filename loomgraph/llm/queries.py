@@ -52,7 +52,8 @@ def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = phrase_dedup.remove_repeats(_documents(spark, sf_dir), 20)
-    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    kept = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

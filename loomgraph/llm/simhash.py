@@ -11,7 +11,11 @@ values up to its threshold misses no link, and candidates are verified.
 Work is on distinct fingerprints: equal ones form one class from the start.
 Within a bucket only a spanning forest of the verified links is emitted, and
 buckets over ``BUCKET`` members are split once more by the bits that their key
-leaves free, after which at most 2**16 distinct fingerprints can share a key.
+leaves free (with radius 3, at most 2**16 distinct fingerprints then share one).
+
+A second fingerprint over longer shingles may verify links beyond the small
+radius that one fingerprint alone can bear: two texts then link where both
+fingerprints are near.
 
 Defined cases: null and empty texts have fingerprint zero and link like any
 other; fewer words than a shingle hash as one sequence; a null ``doc_id``
@@ -59,17 +63,21 @@ def fingerprint_bytes(text: bytes, words: int, seed: int) -> bytes:
     return np.packbits(counts * 2 > n).tobytes()
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, verify_words: int | None = None) -> DataFrame:
+    """(doc_id, node, fp, check): fingerprints as signed longs; ``node`` names what has the same ones.
+
+    ``check`` is the fingerprint over ``verify_words``, or 0 without them.
+    """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            joined = b"".join([fingerprint_bytes(t, words, seed) for t in texts])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.frombuffer(joined, ">i8").astype(np.int64))], ["doc_id", "fp"])
+            fp, check = (np.frombuffer(b"".join([fingerprint_bytes(t, n, seed) for t in texts]) if n else bytes(8 * len(texts)), ">i8").astype(np.int64) for n in (words, verify_words))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp), pa.array(check)], ["doc_id", "fp", "check"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return materialise(rows.mapInArrow(digest, "doc_id long, fp long"), "fingerprints")
+    found = materialise(rows.mapInArrow(digest, "doc_id long, fp long, check long"), "fingerprints")
+    return found.withColumn("node", F.xxhash64("fp", "check") if verify_words else F.col("fp"))
 
 
 def bit_statistics(classes: DataFrame) -> tuple[int, np.ndarray]:
@@ -107,8 +115,9 @@ def correlated_parts(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
     scale = np.sqrt(np.maximum(np.outer(p * (1 - p), p * (1 - p)), 1e-12))
     corr = np.abs(cov / scale)
     np.fill_diagonal(corr, -1.0)
-    width, left, groups = BITS // parts, set(range(BITS)), []
-    for _ in range(parts):
+    left, groups = set(range(BITS)), []
+    for i in range(parts):
+        width = BITS // parts + (i < BITS % parts)
         rest = sorted(left)
         seed = max(rest, key=lambda b: (corr[b, rest].max(), -b))
         group = [seed]
@@ -138,7 +147,7 @@ def thresholds(n: int, both: np.ndarray, groups: list[list[int]], radius: int) -
         row, probes = [0.0], 0
         for t in range(radius + 1):
             probes += comb(len(group), t)
-            row.append(PROBE_COST * n * probes + n * n / 2 * near[t])
+            row.append(PROBE_COST * n * probes + n * n / 2 * near[min(t, len(group))])
         costs.append(row)
     best = [(0.0, [])] + [(np.inf, [])] * (radius + 1)
     for row in costs:
@@ -146,7 +155,7 @@ def thresholds(n: int, both: np.ndarray, groups: list[list[int]], radius: int) -
     return best[-1][1], best[-1][0]
 
 
-def plan_probes(n: int, both: np.ndarray, radius: int, choices: tuple[int, ...] = (2, 4)) -> list[tuple[list[int], int]]:
+def plan_probes(n: int, both: np.ndarray, radius: int, choices: tuple[int, ...] = (2, 3, 4, 5, 6, 8)) -> list[tuple[list[int], int]]:
     """Bit groups with their thresholds, for the number of groups of least cost."""
     plans = []
     for parts in choices:
@@ -180,20 +189,24 @@ def _variants(rows: DataFrame, plan: list[tuple[list[int], int]], names: tuple[s
     return out.select(*kept, F.col("__v.i").alias(names[0]), F.col("fp").bitwiseAND(F.col("__v.m")).bitwiseXOR(F.col("__v.x")).alias(names[1]), F.col("__v.own").alias("own"))
 
 
-def _forest(fps: np.ndarray, own: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def _forest(node: np.ndarray, fp: np.ndarray, check: np.ndarray, own: np.ndarray, radius: int, verify: int) -> list[tuple[int, int]]:
     """Links that connect whatever verified links connect within one bucket."""
-    edges, label = [], np.arange(len(fps))
+    edges, label = [], np.arange(len(fp))
     for i in np.flatnonzero(own):
-        near = np.flatnonzero(np.bitwise_count((fps ^ fps[i]).view(np.uint64)) <= radius)
+        near = np.flatnonzero(np.bitwise_count((fp ^ fp[i]).view(np.uint64)) <= radius)
+        if len(near) > 1 and verify < BITS:
+            near = near[np.bitwise_count((check[near] ^ check[i]).view(np.uint64)) <= verify]
+        if len(near) < 2:
+            continue
         roots, first = np.unique(label[near], return_index=True)
         if len(roots) > 1:
-            edges += [(int(fps[i]), int(fps[near[k]])) for r, k in zip(roots, first) if r != label[i]]
+            edges += [(int(node[i]), int(node[near[k]])) for r, k in zip(roots, first) if r != label[i]]
             label[np.isin(label, roots)] = roots[0]
     return edges
 
 
-def _bucket_links(rows: DataFrame, keys: list[str], radius: int) -> DataFrame:
-    """Links (u, v) found within the buckets named by ``keys``; rows hold fp and own."""
+def _bucket_links(rows: DataFrame, keys: list[str], radius: int, verify: int) -> DataFrame:
+    """Links (u, v) found within the buckets named by ``keys``; rows hold node, fp, check and own."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None
@@ -213,13 +226,13 @@ def _bucket_links(rows: DataFrame, keys: list[str], radius: int) -> DataFrame:
                 carry = None
             if len(edges) < 2:
                 return
-            fps, own = table.column("fp").to_numpy(), table.column("own").to_numpy()
+            node, fp, check, own = (table.column(c).to_numpy() for c in ("node", "fp", "check", "own"))
             sizes = np.diff(edges)
             owned = np.add.reduceat(own[: edges[-1]].astype(np.int64), edges[:-1])
             found = []
             for k in np.flatnonzero((sizes > 1) & (owned > 0)):
                 a, b = edges[k], edges[k + 1]
-                found += _forest(fps[a:b], own[a:b], radius)
+                found += _forest(node[a:b], fp[a:b], check[a:b], own[a:b], radius, verify)
             if found:
                 u, v = np.array(found, np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
@@ -235,33 +248,37 @@ def _bucket_links(rows: DataFrame, keys: list[str], radius: int) -> DataFrame:
     return dealt.mapInArrow(scan, "u long, v long")
 
 
-def links(classes: DataFrame, radius: int = 3) -> DataFrame:
-    """Links (u, v) between distinct fingerprints: a spanning forest of every bucket's verified links."""
+def links(classes: DataFrame, radius: int = 3, verify: int = BITS) -> DataFrame:
+    """Links (u, v) between nodes of ``classes`` (node, fp, check): a spanning forest of every bucket's verified links.
+
+    Linked are fingerprints that differ in ``radius`` bits at most and whose
+    checks differ in ``verify`` bits at most.
+    """
     n, both = bit_statistics(classes)
     plan = plan_probes(n, both, radius)
-    rows = _variants(classes.select("fp"), plan, ("part", "key"))
-    own = _variants(classes.select("fp"), [(bits, 0) for bits, _ in plan], ("part", "key"))
+    nodes = classes.select("node", "fp", "check")
+    rows = _variants(nodes, plan, ("part", "key"))
+    own = _variants(nodes, [(bits, 0) for bits, _ in plan], ("part", "key"))
     hot = materialise(own.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BUCKET).drop("n"), "hot-buckets")
     if hot.isEmpty():
-        return _bucket_links(rows, ["part", "key"], radius)
-    found = _bucket_links(rows.join(hot, ["part", "key"], "left_anti"), ["part", "key"], radius)
+        return _bucket_links(rows, ["part", "key"], radius, verify)
+    found = _bucket_links(rows.join(hot, ["part", "key"], "left_anti"), ["part", "key"], radius, verify)
     crowded = rows.join(hot, ["part", "key"], "left_semi")
+    pieces = (radius + 2) // 2  # of the other bits: one of them differs in one bit at most
     for i, (bits, _) in enumerate(plan):
         free = [b for b in range(BITS) if b not in bits]
-        halves = [free[: len(free) // 2], free[len(free) // 2 :]]
-        first = (radius - 1) // 2
-        split = [(halves[0], first), (halves[1], radius - 1 - first)]
+        split = [(free[k::pieces], 1) for k in range(pieces)]
         inner = _variants(crowded.filter(F.col("part") == i), split, ("part2", "key2"))
-        found = found.unionAll(_bucket_links(inner, ["part", "key", "part2", "key2"], radius))
+        found = found.unionAll(_bucket_links(inner, ["part", "key", "part2", "key2"], radius, verify))
     return found
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int = 3, verify_words: int | None = None, verify_radius: int = BITS) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id reachable over links between fingerprints."""
-    prints = fingerprints(docs, words, seed)
-    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-classes")
-    labels = component_labels(links(classes, radius)).withColumnRenamed("id", "fp")
-    labelled = classes.join(labels, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    prints = fingerprints(docs, words, seed, verify_words)
+    classes = materialise(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("check").alias("check"), F.min("doc_id").alias("first")), "fingerprint-classes")
+    labels = component_labels(links(classes, radius, verify_radius)).withColumnRenamed("id", "node")
+    labelled = classes.join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     names = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
-    groups = labelled.join(names, "component").select("fp", "component_id")
-    return prints.join(groups, "fp").select("doc_id", "fp", "component_id")
+    groups = labelled.join(names, "component").select("node", "component_id")
+    return prints.join(groups, "node").select("doc_id", "fp", "component_id")
