@@ -2,10 +2,12 @@
 
 Both vocabularies used here split a text before merging, and no merge crosses
 the place before a blank or a line feed that stands between two other
-characters.  A text therefore encodes to the concatenation of its pieces'
-ids, and each distinct piece of a batch is encoded once.  A text holding a
-piece for which this does not hold (empty, or with white space at an end) is
-encoded whole.
+characters, nor the place between a letter and a punctuation mark.  A text
+therefore encodes to the concatenation of its pieces' ids, and each distinct
+piece of a batch is encoded once.  A text holding a piece for which this does
+not hold (with further white space at an end) is encoded whole.  Vocabularies
+that drop white space are the ones that fold case, so there pieces are folded
+first.
 """
 
 from __future__ import annotations
@@ -17,13 +19,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct pieces a worker remembers; beyond it the memory starts anew.
-CACHE_PIECES = 900_000
+CACHE_PIECES = 700_000
 
 #: Pieces encoded in one call.
 GROUP = 2_000
 
-#: Marks the first piece of a text; texts that hold it themselves are encoded whole.
-FIRST = "\x01"
+#: Parts pieces; texts that hold it themselves are encoded whole.
+CUT = "\x01"
+#: A Latin letter and a punctuation mark behind it: no token holds both (an apostrophe may belong to a word).
+BEFORE_MARKS, CUT_MARKS = r"([A-Za-z])([.,;:!?%&$#*|)])", "\\1" + CUT + "\\2"
 
 
 @lru_cache(maxsize=4)
@@ -61,7 +65,7 @@ class Encoder:
     def __init__(self, path: str, spaced: bool):
         """``spaced``: a blank belongs to the piece behind it (byte-level vocabularies)."""
         self.tokenizer, self.spaced = load_tokenizer(path), spaced
-        self.joint = "\n" if spaced else f" {FIRST} "
+        self.joint = "\n" if spaced else f" {CUT} "
         (self.joint_id,) = self._whole([self.joint])[0]
         self._reset()
 
@@ -91,15 +95,15 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         if self.spaced:
-            bodies = [p[1:] if p[:1] in ("\n", FIRST) else p for p in pieces]
+            bodies = [p[1:] if p[:1] in ("\n", " ") else p for p in pieces]
+            safe = [b.strip() == b and (b != "" or p == "") for p, b in zip(pieces, bodies)]
             lines = np.fromiter((p[:1] == "\n" for p in pieces), bool, len(pieces))
-            safe = [b != "" and b.strip() == b and FIRST not in b for b in bodies]
-            shown = ["x" if not s else b if p is not b else " " + b for p, b, s in zip(pieces, bodies, safe)]
+            shown = ["x" if b == "" else b if p[0] == "\n" else p for p, b in zip(pieces, bodies)]
         else:
-            shown, safe = [p or "x" for p in pieces], [True] * len(pieces)
-            lines = np.zeros(len(pieces), bool)
+            safe, lines = [True] * len(pieces), np.zeros(len(pieces), bool)
+            shown = [p or "x" for p in pieces]
         values, lengths = self._ragged(shown)
-        if not self.spaced and "" in pieces:
+        if "" in pieces:
             at = pieces.index("")
             ends = np.cumsum(lengths)
             values = np.delete(values, np.arange(ends[at] - lengths[at], ends[at]))
@@ -117,13 +121,13 @@ class Encoder:
         """Ids of all texts in a row, and each text's number of ids."""
         n = len(texts)
         texts = texts.cast(pa.large_string())
-        if self.spaced:  # the first piece of a text has no blank in front
-            cut = pc.replace_substring(pc.binary_join_element_wise(pa.scalar(FIRST, texts.type), texts, pa.scalar("", texts.type)), "\n", " \n")
-            marked = np.flatnonzero(pc.match_substring(texts, FIRST).to_numpy(zero_copy_only=False))
-            lists = pc.split_pattern(cut, " ")
+        marked = np.flatnonzero(pc.match_substring(texts, CUT).to_numpy(zero_copy_only=False))
+        cut = pc.replace_substring_regex(texts, BEFORE_MARKS, CUT_MARKS)
+        if self.spaced:
+            cut = pc.replace_substring(pc.replace_substring(cut, " ", CUT + " "), "\n", CUT + "\n")
         else:
-            lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-            marked = []
+            cut = pc.replace_substring(pc.replace_substring(pc.ascii_lower(cut), " ", CUT), "\n", CUT)
+        lists = pc.split_pattern(cut, CUT)
         counts = np.diff(lists.offsets.to_numpy())
         coded = lists.flatten().dictionary_encode()
         pieces = coded.dictionary.to_pylist()
