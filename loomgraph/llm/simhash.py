@@ -38,9 +38,11 @@ from ..storage import materialise
 BITS = 64
 #: Members of a bucket that one task compares without a further split.
 BUCKET = 2_048
-#: What a probe row costs in units of one candidate comparison.
-PROBE_COST = 8.0
+#: What a shuffled probe row costs in units of one candidate comparison.
+PROBE_COST = 256.0
 CHUNK = 8_192
+#: Numbers of bit groups among which the plan of least cost is taken.
+PARTS = (2, 3, 4)
 
 
 def fingerprint_bytes(text: bytes, words: int, seed: int) -> bytes:
@@ -155,7 +157,7 @@ def thresholds(n: int, both: np.ndarray, groups: list[list[int]], radius: int) -
     return best[-1][1], best[-1][0]
 
 
-def plan_probes(n: int, both: np.ndarray, radius: int, choices: tuple[int, ...] = (2, 3, 4, 5, 6, 8)) -> list[tuple[list[int], int]]:
+def plan_probes(n: int, both: np.ndarray, radius: int, choices: tuple[int, ...]) -> list[tuple[list[int], int]]:
     """Bit groups with their thresholds, for the number of groups of least cost."""
     plans = []
     for parts in choices:
@@ -248,14 +250,14 @@ def _bucket_links(rows: DataFrame, keys: list[str], radius: int, verify: int) ->
     return dealt.mapInArrow(scan, "u long, v long")
 
 
-def links(classes: DataFrame, radius: int = 3, verify: int = BITS) -> DataFrame:
+def links(classes: DataFrame, radius: int = 3, verify: int = BITS, parts: tuple[int, ...] = PARTS) -> DataFrame:
     """Links (u, v) between nodes of ``classes`` (node, fp, check): a spanning forest of every bucket's verified links.
 
     Linked are fingerprints that differ in ``radius`` bits at most and whose
     checks differ in ``verify`` bits at most.
     """
     n, both = bit_statistics(classes)
-    plan = plan_probes(n, both, radius)
+    plan = plan_probes(n, both, radius, parts)
     nodes = classes.select("node", "fp", "check")
     rows = _variants(nodes, plan, ("part", "key"))
     own = _variants(nodes, [(bits, 0) for bits, _ in plan], ("part", "key"))
@@ -273,11 +275,11 @@ def links(classes: DataFrame, radius: int = 3, verify: int = BITS) -> DataFrame:
     return found
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int = 3, verify_words: int | None = None, verify_radius: int = BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int = 3, verify_words: int | None = None, verify_radius: int = BITS, parts: tuple[int, ...] = PARTS) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id reachable over links between fingerprints."""
     prints = fingerprints(docs, words, seed, verify_words)
     classes = materialise(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("check").alias("check"), F.min("doc_id").alias("first")), "fingerprint-classes")
-    labels = component_labels(links(classes, radius, verify_radius)).withColumnRenamed("id", "node")
+    labels = component_labels(links(classes, radius, verify_radius, parts)).withColumnRenamed("id", "node")
     labelled = classes.join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     names = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     groups = labelled.join(names, "component").select("node", "component_id")
