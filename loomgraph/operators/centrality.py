@@ -125,6 +125,8 @@ def betweenness(g: Graph, weighted: bool = False) -> DataFrame:
     forward and dependencies backward over them, by number of hops, for all
     sources at once.  Weights must be positive; parallel edges count apart.
     """
+    if g.n() < 3:
+        return g.nodes.select("id", F.lit(0.0).alias("score"))
     if weighted and not g.edges.filter("weight <= 0").isEmpty():
         raise ValueError("weighted betweenness needs positive weights")
     edges = g.edges.filter("src <> dst").select("src", "dst", F.col("weight") if weighted else F.lit(1.0).alias("weight"))

@@ -82,18 +82,18 @@ def label_propagation(g: Graph, max_iterations: int = 100, seed: int = 0) -> Dat
     """(id, community): every node takes the most frequent label around it.
 
     A node keeps its label where it is among the most frequent, and else takes
-    the smallest of them.  Half of the nodes, by a hash, move in each round,
-    so labels don't swing; two rounds without a move end it.
+    the smallest of them.  Half of the nodes, another half by a hash in each
+    round, may move, so neighbours don't swap labels for ever; it ends where no
+    node wishes to move.
     """
     links = g.edges.filter("src <> dst").select("src", "dst").repartition("dst").persist()
-    half = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2)).cast("int")
+    turn = F.pmod(F.xxhash64("id", "round", F.lit(seed)), F.lit(2)) == 0
 
     def step(state: DataFrame) -> DataFrame:
         votes = links.join(state.select(F.col("id").alias("dst"), F.col("community").alias("c")), "dst").groupBy(F.col("src").alias("id"), "c").agg(F.count(F.lit(1)).alias("n"))
         own = votes.join(state.select("id", "community"), "id")
         best = own.groupBy("id").agg(F.max(F.struct("n", (F.col("c") == F.col("community")).alias("own"), (-F.col("c")).alias("c"))).alias("b"))
         wish = F.when(F.col("b").isNull(), F.col("community")).otherwise(-F.col("b.c"))
-        turn = half == F.pmod(F.col("round"), F.lit(2))
         rows = state.join(best, "id", "left").select("id", F.when(turn, wish).otherwise(F.col("community")).alias("community"), (wish != F.col("community")).alias("moved"), (F.col("round") + 1).alias("round"))
         return rows
 

@@ -261,7 +261,7 @@ _query("global_min_cut", G.event_links, flow.global_min_cut, f"with {G.EVENT_LIN
 _query("global_min_cut_trade", G.trade_full, flow.global_min_cut)
 _CLIQUES = (
     "s as (select m.m as m, bit_count(m.m) as n from range(1, 32) m(m)), c as (select m, n from s where (select count(*) from e where src < dst and (s.m >> src) & 1 = 1 and (s.m >> dst) & 1 = 1) = n * (n - 1) // 2), "
-    "mx as (select m, n from c where not exists (select 1 from c b where b.m <> c.m and b.m & c.m = c.m)), q as (select n, list_transform(list_filter(range(5), i -> (m >> i) & 1 = 1), i -> i::bigint) as clique from mx)"
+    "mx as (select m, n from c where not exists (select 1 from c b where b.m <> c.m and b.m & c.m = c.m)), q as (select n, list_transform(list_filter(range(5), lambda i: (m >> i) & 1 = 1), lambda i: i::bigint) as clique from mx)"
 )
 _query("maximal_cliques", G.event_links, lambda g: cliques.maximal_cliques(g).select(F.concat_ws(",", F.col("clique").cast("array<string>")).alias("clique")), f"with {G.EVENT_LINKS}, {_CLIQUES} select array_to_string(clique, ',') as clique from q")
 _query(
