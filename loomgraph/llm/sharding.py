@@ -8,7 +8,8 @@ one at most.
 
 Defined cases: nulls take the lowest cell of a dimension; a null text has no
 bytes; rows with equal keys follow each other in any order; an empty table
-gives no rows; columns of other names stay untouched.
+gives no rows; columns named hilbert, shard, slot or position are replaced, and
+others stay untouched.
 """
 
 from __future__ import annotations
@@ -82,6 +83,7 @@ def with_hilbert(df: DataFrame, dimensions: list[str], bits: int = BITS) -> Data
 
 def hilbert_shards(df: DataFrame, dimensions: list[str], shards: int, ties: list[str], bits: int = BITS) -> DataFrame:
     """Add ``shard`` and ``slot``: runs of the curve with row counts at most one apart."""
+    df = df.drop("hilbert", "shard", "slot", "position")
     placed, total = with_positions(with_hilbert(df, dimensions, bits), ["hilbert", *ties])
     placed = placed.withColumn("shard", F.expr(f"cast(position * {shards} div {max(total, 1)} as int)"))
     first = F.expr(f"(cast(shard as long) * {total} + {shards - 1}) div {shards}")

@@ -112,6 +112,8 @@ def nn_pu(pos: list[np.ndarray], unl: list[np.ndarray], width: int, prior: float
 def _vocabulary(sample: DataFrame, size: int, least: float) -> list[bytes]:
     """Features that positive documents hold significantly more or less often, by the G statistic of their 2 x 2 table."""
     n_pos, n_all = sample.agg(F.sum("positive"), F.count(F.lit(1))).first()
+    if not n_pos:
+        return []
     n_unl = n_all - n_pos
     counts = sample.select("positive", F.explode("words").alias("word")).groupBy("word").agg(F.sum("positive").alias("p"), F.sum(1 - F.col("positive")).alias("u"))
 
