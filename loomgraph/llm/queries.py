@@ -99,5 +99,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+PHRASE_SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+p as (select doc_id, i, array_to_string(ws[i:i + 19], ' ') as k from (select doc_id, ws, unnest(range(1, len(ws) - 18)) as i from w)),
+f as (select doc_id, i, row_number() over (partition by k order by doc_id, i) as nth from p),
+g as (select distinct doc_id, i + j as pos from f, range(20) r(j) where nth > 1),
+k as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as pos from w),
+t as (select doc_id, count(*) as n_words, count(g.pos) as n_removed, coalesce(string_agg(word, ' ' order by k.pos) filter (g.pos is null), '') as kept from k left join g using (doc_id, pos) group by doc_id)
+select doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join t using (doc_id)"""
+
+BYTES_SQL = """
+with d as (select doc_id, lower(hex(encode(coalesce(text, '')))) as h from documents),
+p as (select doc_id, i, unhex(substr(h, (2 * i + 1)::bigint, 100)) as k from (select doc_id, h, unnest(range(0, len(h) // 2 - 49)) as i from d)),
+m as (select k, min(doc_id) as first from p group by k having count(*) > 1),
+f as (select doc_id, i, first from p join m using (k)),
+s as (select doc_id, i, i > coalesce(lag(i) over (partition by doc_id order by i) + 50, -1) as new from f where first < doc_id),
+r as (select doc_id, i, sum(new::int) over (partition by doc_id order by i) as run from s),
+x as (select doc_id, run, min(i) as a, max(i) + 50 as b from r group by all),
+y as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as last from x),
+z as (select doc_id, sum(b - a) as n_removed, count(*) as n_spans, string_agg(substr(h, (2 * last + 1)::bigint, (2 * (a - last))::bigint), '' order by a) || substr(any_value(h), (2 * max(b) + 1)::bigint) as kept from y join d using (doc_id) group by doc_id)
+select doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256 from d left join z using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.scan_sql()}
+    return {"op2_license_scan": licenses.scan_sql(), "op5_phrase_dedup": PHRASE_SQL, "op8_suffix_dedup": BYTES_SQL}
