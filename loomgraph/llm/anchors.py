@@ -15,7 +15,6 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-TOP = U(0xFFFFFFFFFFFFFFFF)
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
@@ -70,6 +69,11 @@ def range_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> n
     return mix((sums[ends] - sums[starts]) * powers(INVERSE, len(symbols) + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
+def order_of(keys: np.ndarray) -> np.ndarray:
+    """What grams are ordered by: the upper bits of their hashes, from 1, in half the memory."""
+    return (keys >> U(33)).astype(np.uint32) + np.uint32(1)
+
+
 def _sliding(x: np.ndarray, w: int, pick) -> np.ndarray:
     size = 1
     while size * 2 <= w:
@@ -83,19 +87,20 @@ def find_anchors(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: i
     n, g = len(symbols), w - k + 1
     if n < w:
         return np.zeros(0, np.int64)
-    h = np.full(n, TOP)
+    top = np.uint32(0xFFFFFFFF)
+    h = np.full(n, top)
     grams = gram_hashes(symbols, k)
-    h[: len(grams)] = (grams >> U(1)) + U(1)
+    h[: len(grams)] = order_of(grams)
     inside = np.zeros(n + 1, np.int32)
     long = ends - starts >= w
     inside[starts[long]] += 1
     inside[ends[long] - w + 1] -= 1
     within = np.cumsum(inside[:n]) > 0
     for s, e in zip(starts, ends):
-        h[max(s, e - k + 1) : e] = TOP
+        h[max(s, e - k + 1) : e] = top
     least = _sliding(h, g, np.minimum)
     least[~within[: len(least)]] = 0
-    padded = np.zeros(n + g - 1, np.uint64)
+    padded = np.zeros(n + g - 1, np.uint32)
     padded[g - 1 : g - 1 + len(least)] = least
     most = _sliding(padded, g, np.maximum)
     return np.flatnonzero((most == h) & (most > 0))
@@ -107,7 +112,7 @@ def owned_windows(pos: np.ndarray, key: np.ndarray, first: np.ndarray, last: np.
     ``first`` and ``last`` are the bounds of its document; of equal least
     grams in a window the leftmost owns it.
     """
-    g = w - k + 1
+    g, key = w - k + 1, order_of(key)
     lo, hi = np.maximum(first, pos - g + 1), np.minimum(pos, last - w)
     for step in range(1, g):
         i = np.arange(step, len(pos))
@@ -129,11 +134,11 @@ def owned_windows(pos: np.ndarray, key: np.ndarray, first: np.ndarray, last: np.
 
 
 def anchor_keys(symbols: np.ndarray, pos: np.ndarray, k: int) -> np.ndarray:
-    """The hashes that ordered the anchors at ``pos``."""
+    """The hashes of the grams at ``pos``."""
     out = np.zeros(len(pos), np.uint64)
     for j in range(k):
         out = out * U(BASE) + symbols[pos + j]
-    return (mix(out) >> U(1)) + U(1)
+    return mix(out)
 
 
 def covered(starts: np.ndarray, w: int, n: int) -> np.ndarray:

@@ -134,7 +134,7 @@ ENTRY = np.dtype([("key", "<u8"), ("hash", "<u8"), ("id", "<i8"), ("count", "u1"
 
 
 def ask_snippets(block: Block, given: list, shards: int, length: int) -> dict[int, bytes]:
-    """Entries of distinct snippets (anchor, content hash, smallest id, windows), then their bytes."""
+    """Entries of distinct snippets (anchor, content hash, smallest id, windows), then their compressed bytes."""
     s = Snippets(block, given[0], length, shards)
     if not len(s.lead):
         return {}
@@ -146,7 +146,7 @@ def ask_snippets(block: Block, given: list, shards: int, length: int) -> dict[in
             at = s.lead[order[x:y]]
             fields = [s.key[at], s.hash[at], s.id[at], s.count[at].astype(np.uint8)]
             text = raw[ragged_take(s.lo[at], s.count[at] - 1 + length)]
-            out[shard] = np.uint32(len(at)).tobytes() + b"".join(f.tobytes() for f in fields) + text.tobytes()
+            out[shard] = np.uint32(len(at)).tobytes() + b"".join(f.tobytes() for f in fields) + pa.compress(text.tobytes(), codec="zstd", asbytes=True)
     return out
 
 
@@ -282,7 +282,8 @@ def answer_snippets(entries: list[bytes], length: int) -> list[bytes]:
             rows[name] = np.frombuffer(e, kind, n, at)
             at += n * kind.itemsize
         fields.append(rows)
-        texts.append(np.frombuffer(e, np.uint8, offset=at))
+        size = int(rows["count"].astype(np.int64).sum()) + n * (length - 1)
+        texts.append(np.frombuffer(pa.decompress(e[at:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8))
         numbers.append(n)
     rows, raw = np.concatenate(fields), np.concatenate(texts)
     sizes = rows["count"].astype(np.int64) - 1 + length
