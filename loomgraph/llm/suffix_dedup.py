@@ -36,7 +36,7 @@ from .blocks import NO_ID, Block, ask, finish, make_blocks, shard_of, split_entr
 from .tokens import ragged_take
 
 #: Bytes of an anchor string.
-GRAM = 16
+GRAM = 24
 #: Occurrences of an anchor beyond which its windows travel one by one.
 FREQUENT = 2_000
 #: Bytes of snippets in one suffix array.
