@@ -273,3 +273,8 @@ def test_coloring_kernel_against_brute_force():
         need = next(k for k in range(1, n + 1) if any(all(c[a] != c[b] for a in adj for b in adj[a]) for c in itertools.product(range(k), repeat=n)))
         found, proven = kernels.exact_coloring(adj, 10)
         assert proven and max(found.values()) == need and all(found[a] != found[b] for a in adj for b in adj[a])
+
+
+def test_closure_by_recursive_sql(graph):
+    rows = transform.closure_of_bounded_depth(graph("A>B B>C"), 5).collect()
+    assert {tuple(r) for r in rows} == {(0, 1, 1), (1, 2, 1), (0, 2, 2)}
