@@ -2,7 +2,7 @@
 
 A seed is a fixed mask over consecutive words of which some are ignored, so
 substituted words do not hide a passage.  Benchmark items are hashed under
-every mask; documents look up their own masked hashes, and around each hit the
+masks chosen by their length so that no passage which counts goes without a hit; documents look up their own masked hashes, and around each hit the
 item is laid over the document and equal words are counted.  A passage counts
 where some stretch of ``window`` laid-over words (the whole item if shorter)
 has a share of at least ``similarity`` of equal words.
@@ -11,8 +11,8 @@ Items go to the executors in blocks of a bounded number of words, one pass
 over the documents per block; documents are never joined with each other.
 
 Defined cases: words are runs of letters and digits in lower case; null and
-empty texts have none; items shorter than a mask match by their whole words
-under shortened masks; rows with equal ids are searched one by one, and
+empty texts have none; items shorter than ``window`` have masks of their own
+length; rows with equal ids are searched one by one, and
 repeated items each get their own hits; empty tables give no hits.
 """
 
@@ -27,8 +27,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: 1: the word counts; 0: it is ignored (fixed values).
-MASKS = ("111011011", "110110111", "1110010111", "11011000111")
+#: By the length of a stretch and the changed words it may hold; 1: the word counts; 0: it is ignored (fixed values).
+#: Wherever these words lie, one mask fits the stretch without them: the tests enumerate all places.
+MASKS = {
+    (13, 2): ("1111111", "11110111", "11101111", "1110100111"),
+    (12, 2): ("1111111", "11110111", "11111101", "1100101111", "11011001011"),
+    (11, 2): ("111111", "1110111", "1011111", "111001011"),
+    (10, 2): ("11111", "111011", "11010011"),
+    (9, 1): ("1111111", "11111011", "11101111", "11011111"),
+    (8, 1): ("111111", "1111011", "1101111"),
+    (7, 1): ("11111", "111011", "110111"),
+    (6, 1): ("1111", "11011"),
+    (5, 1): ("1111", "11101", "11011", "10111"),
+}
 WINDOW = 13
 SIMILARITY = 0.8
 #: Benchmark words in one block.
@@ -37,10 +48,20 @@ WORD = re.compile(r"\w+")
 FACTORS = np.cumprod(np.full(32, 0x9E3779B97F4A7C15, np.uint64))
 
 
+def masks_for(words: int, window: int = WINDOW, similarity: float = SIMILARITY) -> tuple[str, ...]:
+    """Masks that hit every passage which counts, for an item of so many words.
+
+    Where no masks are listed, one run of equal words is left between the changed ones.
+    """
+    stretch = min(window, words)
+    changed = max((k for k in range(stretch) if stretch - k >= similarity * stretch), default=0)
+    return MASKS.get((stretch, changed)) or ("1" * (stretch // (changed + 1)),)
+
+
 class Seeds:
     """Benchmark items by the hashes of their masked words."""
 
-    def __init__(self, items: list[tuple[int, str]], masks: tuple[str, ...] = MASKS, window: int = WINDOW, similarity: float = SIMILARITY):
+    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, similarity: float = SIMILARITY):
         self.window, self.similarity = window, similarity
         self.vocabulary: dict[str, int] = {}
         self.items: list[tuple[int, np.ndarray]] = []
@@ -50,7 +71,7 @@ class Seeds:
             if not words:
                 continue
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64)
-            for mask in dict.fromkeys(m[: len(ids)] for m in masks):
+            for mask in masks_for(len(ids), window, similarity):
                 keep = tuple(i for i, c in enumerate(mask) if c == "1")
                 h, at = self._masked(ids, keep, len(mask))
                 hashes[keep, len(mask)].append(h)

@@ -373,6 +373,23 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.contaminated(table, benchmark.limit(0)).count() == 0 and decontamination.decontaminate(table, benchmark.limit(0)).count() == 8
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.7, 0.95])
+def test_seeds_hit_every_passage_that_counts(similarity):
+    from itertools import combinations
+
+    for n in range(1, 18):
+        item = [f"w{i}" for i in range(n)]
+        seeds = decontamination.Seeds([(7, " ".join(item))], similarity=similarity)
+        stretch = min(n, 13)
+        changed = max(k for k in range(stretch) if stretch - k >= similarity * stretch)
+        for at in range(n - stretch + 1):
+            for gone in combinations(range(at, at + stretch), changed):
+                # only the stretch is left, and ``gone`` words of it are others, unknown or from elsewhere in the item
+                for other in ("x", item[0]):
+                    text = [w if at <= i < at + stretch and i not in gone else other for i, w in enumerate(item)]
+                    assert [h[0] for h in seeds.find("y z " + " ".join(text) + " y")] == [7], (n, at, gone)
+
+
 def brute_counts(text):
     words = [w.decode() for w in WORDS.findall(text.encode())]
     seen, dup = set(), 0
