@@ -16,7 +16,9 @@ other columns have no influence.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,8 @@ from .tokens import append_id, shared_encoder, text_slices
 
 PIECES = "doc_id long, piece int, start long, length long, part int, rank long, ids binary"
 
-#: Nodes that the search for one filling may visit before the incumbent stands.
-FILL_NODES = 4_000
+#: Fillings that the search may look at before the incumbent stands.
+NODES = 10_000
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, *, spaced: bool) -> DataFrame:
@@ -69,80 +71,177 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, *
     return materialise(rows.mapInArrow(cut, PIECES), "token-pieces")
 
 
-def fill(room: int, counts: np.ndarray, lengths: np.ndarray, allowed: int) -> list[int]:
-    """The filling of ``room`` with the least waste, found by depth-first search.
+def reachable(room: int, counts: np.ndarray, lengths: list[int]) -> list[int]:
+    """For each number of the shortest lengths, the sums up to ``room`` that they can make, as bits."""
+    within, sums = (1 << room + 1) - 1, [1]
+    for length in lengths:
+        now, left, step = sums[-1], min(int(counts[length]), room // length), 1
+        while left:
+            step = min(step, left)
+            now |= now << length * step & within
+            left -= step
+            step *= 2
+        sums.append(now)
+    return sums
 
-    The greedy largest-first filling is the incumbent.  Branches whose best
-    possible waste cannot beat it are pruned, equal lengths are tried once
-    (a filling by larger documents dominates one by smaller documents of the
-    same sum), and the search ends at waste ``allowed``.
+
+def fillings(total: int, counts: np.ndarray, lengths: list[int], sums: list[int]) -> Iterator[tuple[int, ...]]:
+    """All fillings that sum to ``total``, those of larger lengths first."""
+    if not total:
+        yield ()
+        return
+    for k in range(len(lengths), 0, -1):
+        if not sums[k] >> total & 1:
+            return
+        length = lengths[k - 1]
+        for n in range(min(int(counts[length]), total // length), 0, -1):
+            if sums[k - 1] >> total - n * length & 1:
+                for rest in fillings(total - n * length, counts, lengths[: k - 1], sums):
+                    yield (length,) * n + rest
+
+
+def dominated(used: tuple[int, ...], waste: int, counts: np.ndarray, lengths: list[int]) -> bool:
+    """Whether a longer document left could take the place of some of these, or of none, without overflow.
+
+    Swapping it for them never costs a sequence.  Of long fillings only single
+    documents and pairs are looked at, which leaves more to search, never less.
     """
-    best: list[int] = []
-    best_waste = room
-    nodes = 0
-    prefix = lengths  # ascending lengths with documents left
-
-    def search(free: int, top: int, used: list[int]) -> bool:
-        nonlocal best, best_waste, nodes
-        nodes += 1
-        if free < best_waste or not best:
-            best, best_waste = list(used), free
-            if free <= allowed:
-                return True
-        if nodes > FILL_NODES:
-            return True
-        at = min(int(np.searchsorted(prefix, free, side="right")), top + 1) - 1
-        tried = 0
-        while at >= 0 and tried < 24:
-            length = int(prefix[at])
-            if counts[length] > used.count(length):
-                tried += 1
-                used.append(length)
-                if search(free - length, at, used):
+    own = {x: used.count(x) for x in set(used)}
+    most = len(used) if len(used) <= 6 else 2
+    for size in range(min(most, len(used)) + 1):
+        for part in set(combinations(used, size)):
+            low = sum(part) + (size < 2)
+            for x in lengths[bisect_left(lengths, low) : bisect_right(lengths, sum(part) + waste)]:
+                if counts[x] > own.get(x, 0):
                     return True
-                used.pop()
-                if free - length >= best_waste and at == 0:
-                    return False
-            at -= 1
-        return False
+    return False
 
-    search(room, len(prefix), [])
+
+def lower_bound(histogram: np.ndarray, capacity: int) -> int:
+    """Sequences that any packing needs: by waste, and by documents too long to share one (Martello and Toth's L2)."""
+    counts = np.cumsum(histogram)
+    sums = np.cumsum(histogram * np.arange(capacity + 1))
+    half, best = capacity // 2, -(-int(sums[-1]) // capacity)
+    for k in range(1, half + 1):
+        alone, wide = int(counts[-1] - counts[capacity - k]), int(counts[capacity - k] - counts[half])
+        room = wide * capacity - int(sums[capacity - k] - sums[half])
+        best = max(best, alone + wide + max(0, -(-(int(sums[half] - sums[k - 1]) - room) // capacity)))
     return best
 
 
-def complete_bins(histogram: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
-    """Fillings (lengths) and how often each is used, packing the whole histogram.
+def _choices(counts: np.ndarray, capacity: int, last: tuple | None, slack: Callable[[], int], spend: Callable[[], bool]) -> Iterator[tuple]:
+    """(largest length, filling, times, waste, key) for every undominated filling of the largest document left.
 
-    Around the largest document left, the least wasteful filling of the
-    remaining room is taken and repeated as often as the counts allow.  Unless
-    the result meets the bound of no waste, it is held against the best-fit
-    packing, and the smaller one is returned.
+    Fillings of one length are used in order of their keys, after ``last``; all
+    are first tried as often as counts allow, then less often.
+    """
+    largest = int(np.flatnonzero(counts)[-1])
+    room = capacity - largest
+    counts[largest] -= 1
+    left = counts.copy()
+    counts[largest] += 1
+    lengths = np.flatnonzero(left[: room + 1]).tolist()
+    sums = reachable(room, left, lengths)
+    for fewer in (False, True):
+        waste = -1
+        while (waste := waste + 1) <= min(room, slack()):
+            for used in fillings(room - waste, left, lengths, sums) if sums[-1] >> room - waste & 1 else ():
+                if not spend():
+                    return
+                key = (-largest, waste, tuple(-x for x in used))
+                if last is not None and last[0] == -largest and key <= last or dominated(used, waste, left, lengths):
+                    continue
+                kinds, each = np.unique((largest, *used), return_counts=True)
+                times = int((counts[kinds] // each).min())
+                for t in range(times - 1, 0, -1) if fewer else (times,):
+                    if fewer and not spend():
+                        return
+                    yield largest, used, t, waste, key
+
+
+def branch(histogram: np.ndarray, capacity: int, incumbent: int, bound: int, nodes: int | None) -> list[tuple[list[int], int]] | None:
+    """The best plan found of under ``incumbent`` sequences, by depth-first search over undominated fillings.
+
+    A branch ends where its waste leaves no plan below the incumbent; the search
+    ends at ``bound``, or after looking at so many fillings.
     """
     counts = histogram.copy()
-    bound = -(-int((counts * np.arange(capacity + 1)).sum()) // capacity)
-    plan: list[tuple[list[int], int]] = []
-    total = 0
-    while True:
-        lengths = np.flatnonzero(counts)
-        if not len(lengths):
+    total = int((counts * np.arange(capacity + 1)).sum())
+    best, path, wasted, seen = None, [], 0, 0
+
+    def slack() -> int:
+        return (incumbent - 1) * capacity - total - wasted
+
+    def spend() -> bool:
+        nonlocal seen
+        seen += 1
+        return nodes is None or seen <= nodes
+
+    stack = [_choices(counts, capacity, None, slack, spend)] if total else []
+    undo: list[tuple] = []
+    while stack:
+        choice = next(stack[-1], None)
+        if choice is None:
+            stack.pop()
+            if undo:
+                largest, used, times, waste = undo.pop()
+                path.pop()
+                np.add.at(counts, [largest, *used], times)
+                wasted -= waste * times
+            continue
+        largest, used, times, waste, key = choice
+        if waste * times > slack():
+            continue
+        np.subtract.at(counts, [largest, *used], times)
+        wasted += waste * times
+        path.append(([largest, *used], times))
+        undo.append((largest, used, times, waste))
+        if counts.any():
+            stack.append(_choices(counts, capacity, key, slack, spend))
+            continue
+        best, incumbent = list(path), sum(t for _, t in path)
+        if incumbent <= bound:
             break
-        largest = int(lengths[-1])
-        counts[largest] -= 1
-        rest = np.flatnonzero(counts)
-        used = [largest, *fill(capacity - largest, counts, rest[rest <= capacity - largest], 0)]
-        counts[largest] += 1
-        kinds, each = np.unique(used, return_counts=True)
-        times = int((counts[kinds] // each).min())
-        counts[kinds] -= each * times
-        plan.append((used, times))
-        total += times
-    if total > bound:
-        incumbent = best_fit_plan(histogram, capacity)
-        if sum(times for _, times in incumbent) < total:
-            return incumbent
+        stack.append(iter(()))
+    return best
+
+
+def greedy_plan(histogram: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
+    """The least wasteful filling of the largest document left, as often as the counts allow, again and again."""
+    counts, plan = histogram.copy(), []
+    while counts.any():
+        largest, used, times, *_ = next(_choices(counts, capacity, None, lambda: capacity, lambda: True))
+        np.subtract.at(counts, [largest, *used], times)
+        plan.append(([largest, *used], times))
     return plan
 
 
+def complete_bins(histogram: np.ndarray, capacity: int, nodes: int = NODES) -> list[tuple[list[int], int]]:
+    """Fillings (lengths) and how often each is used, packing the whole histogram.
+
+    The better of the best-fit and the greedy plan is the incumbent.  Unless it
+    meets the lower bound, bin completion searches for a plan that does, which
+    leaves the least waste to spend, then for plans 1, 3, 7 ... above the bound.
+    Each search looks at ``nodes`` fillings at most; the result is the optimum
+    where none is cut off by that.
+    """
+    bound = lower_bound(histogram, capacity)
+    plans = [best_fit_plan(histogram, capacity)]
+    if _size(plans[0]) > bound:
+        plans.append(greedy_plan(histogram, capacity))
+    plan = min(plans, key=_size)
+    top = _size(plan) - 1 - bound
+    for above in sorted({min(2**k - 1, top) for k in range(top.bit_length() + 1)}) if top >= 0 else ():
+        found = branch(histogram, capacity, bound + above + 1, bound, nodes)
+        if found:
+            return found
+    return plan
+
+
+def _size(plan: list[tuple[list[int], int]]) -> int:
+    return sum(times for _, times in plan)
+
+
 def best_fit_plan(histogram: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
     """The best-fit decreasing packing as fillings: each sequence takes the largest document that fits, again and again."""
     counts = histogram.copy()

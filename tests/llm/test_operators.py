@@ -132,6 +132,38 @@ def test_bin_plan_finds_the_optimum():
     assert worse <= 3
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 1_000_000])
+def test_bin_plan_branches_over_fillings(n):
+    histogram = np.bincount([1200, 1040, 960, 800, 650, 598, 424, 424, 48], minlength=2049) * n
+    plan = packing.complete_bins(histogram, 2048)
+    found = np.zeros(2049, int)
+    for used, times in plan:
+        assert sum(used) <= 2048
+        np.add.at(found, used, times)
+    assert (found == histogram).all() and sum(t for _, t in plan) == 3 * n
+
+
+def test_bin_plan_is_never_above_the_optimum():
+    from functools import lru_cache
+
+    @lru_cache(maxsize=None)
+    def fewest(items, bins, room):
+        if not items:
+            return len(bins)
+        fits = {tuple(sorted((*bins[:i], b - items[0], *bins[i + 1 :]))) for i, b in enumerate(bins) if b >= items[0]}
+        return min(fewest(items[1:], b, room) for b in fits | {tuple(sorted((*bins, room - items[0])))})
+
+    rng = random.Random(4)
+    for trial in range(150):
+        room = rng.choice((10, 20, 37))
+        items = tuple(sorted((rng.randint(1 + room // 8, room) for _ in range(rng.randint(1, 9))), reverse=True))
+        histogram = np.bincount(items, minlength=room + 1)
+        assert packing.lower_bound(histogram, room) <= fewest(items, (), room)
+        assert sum(t for _, t in packing.complete_bins(histogram, room)) == fewest(items, (), room)
+        # the search alone, without an incumbent that may be optimal already
+        assert sum(t for _, t in packing.branch(histogram, room, len(items) + 1, 0, None)) == fewest(items, (), room)
+
+
 def test_token_files(spark, docs, empty, tmp_path):
     tokenizer = load_tokenizer(vocabulary_path("word_bpe_49k.json"))
     for k, table in enumerate((docs, empty)):
