@@ -9,7 +9,8 @@ moving them again.
 A question travels as one row per (block, shard) with an array of entries, and
 the answer comes back in the order of the question, so it needs no keys.
 Equal entries of a block are asked once: a key that a third of all documents
-share costs one entry per block.
+share costs one entry per block.  Shards and buckets grow with the input, so
+what a task holds stays the same; there are never more rows than entries.
 """
 
 from __future__ import annotations
@@ -28,14 +29,14 @@ from ..storage import default_partitions, fresh_path, materialise
 
 #: Bytes of text in a block; a longer document is a block of its own.
 BLOCK_BYTES = 2 << 20
-#: Shards of questions for each shuffle partition.
+#: Shards of questions for each shuffle partition, and the most blocks of text for each shard.
 SHARDS = 2
+SHARD_BLOCKS = 6
+#: Buckets that Spark allows a table to have.
+MOST_BUCKETS = 100_000
 #: Stands for a null id: no id is larger.
 NO_ID = np.iinfo(np.int64).max
 
-Question = Callable[["Block", list[dict[int, bytes]]], dict[int, bytes]]
-
-
 class Block:
     """Documents of a block: their ids, and their texts one after another in ``buffer``."""
 
@@ -113,8 +114,16 @@ def make_blocks(docs: DataFrame, prepare: Callable[[Block], np.ndarray], keep: l
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *(keep or []))
     name = f"blocks_{uuid.uuid4().hex}"
     packed = rows.mapInArrow(pack, "block long, payload binary")
-    (packed.write.format("parquet").option("compression", "none").option("path", fresh_path(spark, name)).bucketBy(default_partitions(spark), "block").saveAsTable(name))
-    return spark.table(name)
+    buckets = min(max(default_partitions(spark), packed._jdf.queryExecution().toRdd().getNumPartitions() // 2), MOST_BUCKETS)
+    packed.write.format("parquet").option("compression", "none").option("path", fresh_path(spark, name)).bucketBy(buckets, "block").saveAsTable(name)
+    blocks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # from the catalog; the files stay, and the DataFrame knows them and their buckets
+    return blocks
+
+
+def shard_count(blocks: DataFrame) -> int:
+    """Shards for the questions of these blocks, so that each meets a bounded share of the text."""
+    return max(SHARDS * default_partitions(blocks.sparkSession), -(-blocks.count() // SHARD_BLOCKS))
 
 
 def _answers(row: dict) -> dict[int, bytes]:
@@ -138,14 +147,12 @@ def _blocks_in(batches: Iterator[pa.RecordBatch], rounds: int) -> Iterator[tuple
             yield batch.column("block")[i].as_py(), Block(payload), answers
 
 
-def ask(blocks: DataFrame, answers: list[DataFrame], question: Callable, answer: Callable, name: str) -> DataFrame:
+def ask(blocks: DataFrame, answers: list[DataFrame], question: Callable, answer: Callable, name: str, shards: int) -> DataFrame:
     """One round: each block's ``question`` goes by shard to ``answer``; returns the answers, materialised.
 
     ``question(block, answers, shards)`` gives the entries for each shard as
     bytes, ``answer(list of entries)`` the replies in the same order.
     """
-    spark = blocks.sparkSession
-    shards = SHARDS * default_partitions(spark)
     rounds = len(answers)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,12 +169,12 @@ def ask(blocks: DataFrame, answers: list[DataFrame], question: Callable, answer:
 
     schema = "block long, shard int, data binary"
     sent = _with_answers(blocks, answers).mapInArrow(send, schema)
-    return materialise(sent.groupBy("shard").applyInArrow(reply, schema), name)
+    dealt = sent.repartition(-(-shards // SHARDS), "shard")
+    return materialise(dealt.groupBy("shard").applyInArrow(reply, schema), name)
 
 
-def finish(blocks: DataFrame, answers: list[DataFrame], result: Callable[[Block, list[dict[int, bytes]], int], pa.RecordBatch], schema: str) -> DataFrame:
+def finish(blocks: DataFrame, answers: list[DataFrame], result: Callable[[Block, list[dict[int, bytes]], int], pa.RecordBatch], schema: str, shards: int) -> DataFrame:
     """Rows that ``result(block, answers, shards)`` gives for each block."""
-    shards = SHARDS * default_partitions(blocks.sparkSession)
     rounds = len(answers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,9 +184,6 @@ def finish(blocks: DataFrame, answers: list[DataFrame], result: Callable[[Block,
     return _with_answers(blocks, answers).mapInArrow(run, schema)
 
 
-# --- which anchors repeat -------------------------------------------------
-
-
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
 
@@ -188,41 +192,3 @@ def split_entries(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarra
     """A stable order by shard, and the bounds of each shard in it."""
     order = np.argsort(shard, kind="stable")
     return order, np.searchsorted(shard[order], np.arange(shards + 1))
-
-
-def distinct_keys(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, each key's place among them, and whether a key belongs to several owners."""
-    unique, inverse = np.unique(keys, return_inverse=True)
-    low, high = np.full(len(unique), np.iinfo(np.int64).max), np.full(len(unique), -1, np.int64)
-    np.minimum.at(low, inverse, owner)
-    np.maximum.at(high, inverse, owner)
-    return unique, inverse, high > low
-
-
-def ask_repeats(unique: np.ndarray, several: np.ndarray, shards: int) -> dict[int, bytes]:
-    """Entries: a key with its lowest bit telling that it repeats within the block."""
-    tagged = (unique & ~np.uint64(1)) | several.astype(np.uint64)
-    order, bounds = split_entries(shard_of(unique, shards), shards)
-    return {s: tagged[order[a:b]].tobytes() for s, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a}
-
-
-def answer_repeats(entries: list[bytes]) -> list[bytes]:
-    """Bits: the key is in several blocks, or repeats within one."""
-    arrays = [np.frombuffer(e, np.uint64) for e in entries]
-    tagged = np.concatenate(arrays)
-    _, inverse, count = np.unique(tagged >> np.uint64(1), return_inverse=True, return_counts=True)
-    hot = count > 1
-    hot[inverse[(tagged & np.uint64(1)) == 1]] = True
-    bits = hot[inverse]
-    ends = np.cumsum([len(a) for a in arrays])
-    return [np.packbits(bits[e - len(a) : e]).tobytes() for a, e in zip(arrays, ends)]
-
-
-def read_bits(answers: dict[int, bytes], shard: np.ndarray, shards: int) -> np.ndarray:
-    """The answers' bits in the order of the entries that ``shard`` tells of."""
-    order, bounds = split_entries(shard, shards)
-    out = np.zeros(len(shard), bool)
-    for s, (a, b) in enumerate(zip(bounds, bounds[1:])):
-        if b > a and s in answers:
-            out[order[a:b]] = np.unpackbits(np.frombuffer(answers[s], np.uint8), count=b - a).astype(bool)
-    return out

@@ -4,20 +4,26 @@ A window is ``window`` consecutive words of one document.  Windows that occur
 earlier in the corpus (in a document with a smaller id, or earlier in the same
 one) cover words that are removed.
 
-Three rounds over blocks of documents (see ``blocks``):
+Documents are cut into passages around the phrases of ``PHRASE`` words that
+recur anywhere, and passages that may share a window meet as text in one shard
+(see ``repeats``).  In each shard
 
-1. every block asks which of its anchor phrases repeat anywhere;
-2. windows with a repeated anchor phrase are confirmed: their hashes meet, and
-   each block learns which recur and whether the first occurrence is its own;
-3. the anchor phrases of confirmed passages are compiled into one Aho-Corasick
-   automaton per block, all texts of the block run through it, and every
-   window around a hit that is confirmed and not the first is removed.
+1. recurring passages are confirmed: windows of equal hashes are nominated;
+2. they are compiled into sharded Aho-Corasick automata, one character a word
+   (words are numbered by their bytes), ``PHRASES`` of them in each;
+3. the passages of all documents stream through every automaton of the shard.
+   Its hits are the only source of occurrences, and they are exact.  Nominated
+   windows without a hit share their hash with others; they are compiled and
+   streamed in a further round.
+
+A document needs to meet only the automata of shards that hold a phrase of its
+own, so text that cannot recur is not sent, and work grows with the input.
 
 Defined cases: a null text has no words; texts shorter than a window lose
 nothing; a null ``doc_id`` counts as larger than any id; of rows with equal
 ids the one read first counts as earlier; exact copies lose all their windows
 but the first document's; an empty table gives no rows; the text column alone
-is looked at.
+is looked at; of columns kept along none may be called extra.
 """
 
 from __future__ import annotations
@@ -26,138 +32,97 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .anchors import anchor_keys, covered, find_anchors, gram_hashes, mix, owned_windows, words_of
-from .blocks import Block, answer_repeats, ask, ask_repeats, distinct_keys, finish, make_blocks, read_bits, shard_of, split_entries
+from .anchors import U, covered, find_anchors, gram_hashes, mix, words_of
+from .blocks import Block, ask, finish, make_blocks, shard_count
+from .repeats import Symbols, Windows, answer_anchors, answer_snippets, ask_anchors, ask_snippets, repeated_windows
+from .tokens import ragged_take
 
 #: Words of an anchor phrase.
 PHRASE = 4
+#: Phrases in one automaton.
+PHRASES = 50_000
+#: Characters that a word may be coded by: two, if there are more words; surrogates are left out.
+ALPHABET = 1_000_000
 
 
 class Words:
-    """The words of a block's documents."""
+    """The words of a block's documents, with ``content`` as the block's words one blank apart."""
 
     def __init__(self, block: Block):
-        self.begin, self.end, self.symbols = words_of_docs(block)
+        joined = b"\n".join([block.buffer[a:b] for a, b in zip(block.starts, block.ends)]) + b"\n"
+        begin, end, symbols = words_of(joined)
+        shift = np.searchsorted(block.starts + np.arange(len(block)), begin, side="right") - 1
+        self.begin, self.end = begin - shift, end - shift
         self.first = np.searchsorted(self.begin, block.starts, side="left")
         self.last = np.searchsorted(self.begin, block.ends, side="left")
         self.counts = self.last - self.first
+        edges = np.concatenate([[0], np.cumsum(end - begin + 1)])
+        raw = np.frombuffer(joined, np.uint8)[ragged_take(begin, end - begin + 1)]
+        raw[edges[1:] - 1] = 32
+        self.content = Symbols(symbols, self.first, self.last, raw, edges)
 
-    def doc_of(self, at: np.ndarray) -> np.ndarray:
-        """The document of each word."""
-        docs = np.flatnonzero(self.counts)
-        return docs[np.searchsorted(self.first[docs], at, side="right") - 1]
 
+def windows_of(length: int) -> Windows:
+    return Windows(lambda block: Words(block).content, length, min(PHRASE, length), True)
 
-def words_of_docs(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a block; a word never crosses the end of a document."""
-    joined = b"\n".join([block.buffer[a:b] for a, b in zip(block.starts, block.ends)])
-    begin, end, symbols = words_of(joined)
-    shift = np.searchsorted(block.starts + np.arange(len(block)), begin, side="right") - 1
-    return begin - shift, end - shift, symbols
 
+def _coded(text: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> tuple[str, np.ndarray, int]:
+    """The passages with a character or two for each word, the words' numbers, and the characters of a word.
 
-def phrase_anchors(block: Block, window: int) -> np.ndarray:
-    words = Words(block)
-    return find_anchors(words.symbols, words.first, words.last, PHRASE, window)
-
-
-class Passages:
-    """The candidate windows of a block: those whose anchor phrase repeats somewhere."""
-
-    def __init__(self, block: Block, repeats: dict[int, bytes], window: int, shards: int):
-        self.words = words = Words(block)
-        pos = block.extra
-        keys = anchor_keys(words.symbols, pos, PHRASE)
-        unique, inverse, _ = distinct_keys(keys, np.arange(len(keys)))
-        hot = read_bits(repeats, shard_of(unique, shards), shards)[inverse]
-        doc = words.doc_of(pos)
-        lo, hi = owned_windows(pos, keys, words.first[doc], words.last[doc], PHRASE, window)
-        use = hot & (hi >= lo)
-        self.anchor = pos[use]
-        sizes = hi[use] - lo[use] + 1
-        self.of = np.repeat(np.arange(len(sizes)), sizes)
-        self.start = np.arange(len(self.of)) + np.repeat(lo[use] - np.cumsum(sizes) + sizes, sizes)
-        hashes = gram_hashes(words.symbols, window)
-        self.hash = mix(hashes[self.start])
-        self.doc = words.doc_of(self.start)
-        order = np.lexsort((self.start, block.doc_id[self.doc], self.hash))
-        new = np.ones(len(order), bool)
-        new[1:] = self.hash[order[1:]] != self.hash[order[:-1]]
-        self.entry = np.empty(len(order), np.int64)
-        self.entry[order] = np.cumsum(new) - 1
-        self.lead = order[new]  # the first occurrence of each entry within the block
-        self.unique = self.hash[self.lead]
-        self.several = np.bincount(self.entry, minlength=len(self.lead)) > 1
-
-
-def _ask_windows(block: Block, given: list[dict[int, bytes]], shards: int, window: int) -> dict[int, bytes]:
-    p = Passages(block, given[0], window, shards)
-    tagged = (p.unique & ~np.uint64(1)) | p.several.astype(np.uint64)
-    ids = block.doc_id[p.doc[p.lead]]
-    order, bounds = split_entries(shard_of(p.unique, shards), shards)
-    out = {}
-    for s, (a, b) in enumerate(zip(bounds, bounds[1:])):
-        if b > a:
-            at = order[a:b]
-            out[s] = np.concatenate([tagged[at], ids[at].view(np.uint64)]).tobytes()
-    return out
-
-
-def _answer_windows(entries: list[bytes]) -> list[bytes]:
-    """Two rows of bits: the window recurs; its first occurrence is in this block."""
-    halves = [np.frombuffer(e, np.uint64).reshape(2, -1) for e in entries]
-    tagged, ids = np.concatenate([h[0] for h in halves]), np.concatenate([h[1] for h in halves]).view(np.int64)
-    sizes = [h.shape[1] for h in halves]
-    origin = np.repeat(np.arange(len(sizes)), sizes)
-    key = tagged >> np.uint64(1)
-    order = np.lexsort((origin, ids, key))
-    new = np.ones(len(order), bool)
-    new[1:] = key[order[1:]] != key[order[:-1]]
-    group = np.cumsum(new) - 1
-    recurs = (np.bincount(group) > 1) | (np.bincount(group, (tagged[order] & np.uint64(1)).astype(np.float64)) > 0)
-    first, again = np.zeros(len(order), bool), np.zeros(len(order), bool)
-    first[order] = new
-    again[order] = recurs[group]
-    ends = np.cumsum(sizes)
-    return [np.packbits(np.stack([again[e - n : e], first[e - n : e]]), axis=1).tobytes() for n, e in zip(sizes, ends)]
+    ``ends`` are the ends of all words, blanks included; a zero character follows each passage.
+    """
+    words = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends])), pa.py_buffer(text)])
+    codes = words.dictionary_encode().indices.to_numpy().astype(np.int64)
+    width = 1 if codes.max(initial=0) < ALPHABET - 1 else 2
+    half = ALPHABET // 2
+    marks = (codes + 1)[:, None] if width == 1 else np.stack([codes // (half - 1) + 1, codes % (half - 1) + half], axis=1)
+    marks = (marks + (marks >= 0xD800) * 0x800).astype("<u4")
+    passage = np.cumsum(sizes)
+    at = np.arange(len(codes)) + np.searchsorted(passage, ends, side="left")
+    line = np.zeros((len(codes) + len(sizes), width), "<u4")
+    line[at] = marks
+    return line.tobytes().decode("utf-32-le"), codes, width
+
+
+def locate(text: np.ndarray, sizes: np.ndarray, counts: np.ndarray, keys: np.ndarray, copied: np.ndarray, length: int) -> np.ndarray:
+    """A number for each window of the passages that recurs, the same for equal ones; -1 for those that no automaton finds."""
+    import ahocorasick
+
+    ends = np.flatnonzero(text == 32) + 1
+    line, codes, width = _coded(text, sizes, ends)
+    n_words = counts + length - 1
+    first_word = np.cumsum(n_words) - n_words
+    start = ragged_take(first_word, counts)  # of each window
+    place = start + np.repeat(np.arange(len(counts)), counts)  # with the zero characters in front of it
+    group = np.full(len(start), -1, np.int64)
+    hashes = gram_hashes(mix(codes.astype(np.uint64) + U(1)), length)[start]
+    unique, inverse, often = np.unique(hashes, return_inverse=True, return_counts=True)
+    often = (often > 1) | (np.bincount(inverse, np.repeat(copied, counts), len(unique)) > 0)
+    todo = np.flatnonzero(often[inverse])
+    window_at = np.full(len(line) // width + 1, -1, np.int64)
+    window_at[place] = np.arange(len(start))
+    known = 0
+    while len(todo):
+        _, picked = np.unique(inverse[todo], return_index=True)
+        picked = todo[picked]  # one window of each hash
+        for at in range(0, len(picked), PHRASES):
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            for k, p in enumerate((place[picked[at : at + PHRASES]] * width).tolist()):
+                automaton.add_word(line[p : p + length * width], known + at + k)
+            automaton.make_automaton()
+            hits = np.fromiter(automaton.iter(line), np.dtype([("end", np.int64), ("phrase", np.int64)]))
+            found = window_at[(hits["end"] + 1) // width - length]
+            group[found] = hits["phrase"]
+        known += len(picked)
+        todo = todo[group[todo] < 0]
+    return group
 
 
 def repeated_words(block: Block, given: list[dict[int, bytes]], shards: int, window: int) -> tuple[Words, np.ndarray]:
     """The words of a block, and which of them are removed."""
-    import ahocorasick
-
-    p = Passages(block, given[0], window, shards)
-    words, n = p.words, len(p.words.symbols)
-    order, bounds = split_entries(shard_of(p.unique, shards), shards)
-    recurs, first = np.zeros(len(p.unique), bool), np.zeros(len(p.unique), bool)
-    for s, (a, b) in enumerate(zip(bounds, bounds[1:])):
-        if b > a:
-            bits = np.unpackbits(np.frombuffer(given[1][s], np.uint8).reshape(2, -1), axis=1, count=b - a).astype(bool)
-            recurs[order[a:b]], first[order[a:b]] = bits
-    passages = np.unique(p.anchor[p.of[recurs[p.entry]]])
-    if not len(passages):
-        return words, np.zeros(n, bool)
-    tokens = [block.buffer[a:b] for a, b in zip(words.begin, words.end)]
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for at in passages:
-        automaton.add_word((b" " + b" ".join(tokens[at : at + PHRASE]) + b" ").decode("latin-1"))
-    automaton.make_automaton()
-    lines = [b" " + b" ".join(tokens[a:b]) + b" " if b > a else b" " for a, b in zip(words.first, words.last)]
-    hits = np.fromiter((end for end, _ in automaton.iter(b"\n".join(lines).decode("latin-1"))), np.int64)
-    doc = words.doc_of(np.arange(n))
-    blank = np.cumsum(words.end - words.begin + 1) + 2 * doc  # the blank behind each word
-    found = np.searchsorted(blank, hits) - PHRASE + 1
-    reach = window - PHRASE
-    near = np.zeros(n + 1, np.int32)
-    np.add.at(near, np.maximum(found - reach, 0), 1)
-    np.add.at(near, found + 1, -1)
-    starts = np.flatnonzero(np.cumsum(near[:n]) > 0)
-    starts = starts[starts + window <= words.last[doc[starts]]]
-    hashes = mix(gram_hashes(words.symbols, window)[starts])
-    spot = np.minimum(np.searchsorted(p.unique, hashes), len(p.unique) - 1)
-    confirmed = (p.unique[spot] == hashes) & recurs[spot]
-    original = confirmed & first[spot] & (starts == p.start[p.lead[spot]])
-    return words, covered(starts[confirmed & ~original], window, n)
+    words = Words(block)
+    _, gone = repeated_windows(Windows(lambda _: words.content, window, min(PHRASE, window), True), block, given, shards)
+    return words, covered(gone, window, len(words.begin))
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, keep: list[str] | None = None) -> DataFrame:
@@ -167,11 +132,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep: list[str] | None = N
     that are left follow each other after one blank.
     """
     names = ["doc_id", "n_words", "n_removed", "text", *(keep or [])]
-
-    def which(block: Block, given: list, shards: int) -> dict[int, bytes]:
-        keys = anchor_keys(Words(block).symbols, block.extra, PHRASE)
-        unique, _, several = distinct_keys(keys, np.arange(len(keys)))
-        return ask_repeats(unique, several, shards)
+    windows = windows_of(window)
 
     def rows(block: Block, given: list, shards: int) -> pa.RecordBatch:
         words, gone = repeated_words(block, given, shards, window)
@@ -187,9 +148,17 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep: list[str] | None = N
             texts.append(b" ".join([block.buffer[x:y] for x, y in runs]))
         return pa.RecordBatch.from_arrays([block.ids(), pa.array(words.counts), pa.array(n_removed), pa.array(texts, pa.binary()).cast(pa.string()), *block.kept.values()], names)
 
-    blocks = make_blocks(docs, lambda block: phrase_anchors(block, window), keep)
-    hot = ask(blocks, [], which, answer_repeats, "repeated-phrases")
-    confirmed = ask(blocks, [hot], lambda b, given, shards: _ask_windows(b, given, shards, window), _answer_windows, "repeated-windows")
+    def anchors(block: Block) -> np.ndarray:
+        c = Words(block).content
+        return find_anchors(c.symbols, c.first, c.last, windows.gram, window)
+
+    def judge(text, sizes, counts, keys, copied) -> np.ndarray:
+        return locate(text, sizes, counts, keys, copied, window)
+
+    blocks = make_blocks(docs, anchors, keep)
+    shards = shard_count(blocks)
+    hot = ask(blocks, [], lambda b, given, n: ask_anchors(windows, b, n), answer_anchors, "repeated-phrases", shards)
+    located = ask(blocks, [hot], lambda b, given, n: ask_snippets(windows, b, given, n), lambda e: answer_snippets(windows, e, judge, True), "repeated-windows", shards)
     kinds = dict(docs.dtypes)
     fields = "".join(f", `{c}` {kinds[c]}" for c in keep or [])
-    return finish(blocks, [hot, confirmed], rows, "doc_id long, n_words long, n_removed long, text string" + fields)
+    return finish(blocks, [hot, located], rows, "doc_id long, n_words long, n_removed long, text string" + fields, shards)

@@ -4,25 +4,25 @@ A byte is removed where a string of ``length`` bytes that covers it also
 starts in a document with a smaller id.  Texts are UTF-8; strings never cross
 documents.
 
-1. Every block of documents asks which of its anchor strings occur in other
-   documents (see ``anchors`` and ``blocks``); other places can't repeat.
-2. Around each repeated anchor, the snippet of all windows that it stands for
-   goes to the shard of the anchor.  There equal snippets become one, and the
-   different snippets of an anchor are sorted by a suffix array: ranks by
-   8-byte prefixes are refined by prefix doubling (Larsson and Sadakane) in
-   numpy, common prefixes are computed in text order (Kasai et al.), and runs
-   of suffixes that share ``length`` bytes give the smallest document id of
-   every string.  A shard over ``SHARD_BYTES`` is cut, and the sorted strings
-   of the parts are merged by binary search.
-3. Blocks learn which of their windows occur in an earlier document.
-
-Anchors of over ``FREQUENT`` occurrences send their windows one by one, routed
-by content, so no shard depends on how often one anchor occurs.
+Snippets of text that may share such a string meet in one shard (see
+``repeats``); other text cannot repeat and is not sorted.  In each shard the
+different snippets are cut into arrays of ``ARRAY_BYTES``, and
+
+1. all suffixes of an array are sorted: ranks by 5-byte prefixes are refined by
+   prefix doubling (Larsson and Sadakane) in numpy, until ranks tell ``length``
+   bytes apart;
+2. common prefixes are computed in text order (Kasai et al.); runs of suffixes
+   that share ``length`` bytes are groups of equal strings;
+3. strings whose anchor occurs in several arrays are merged between the
+   arrays by binary search in their sorted strings.
+
+Groups alone tell which strings occur in which documents.
 
 Defined cases: a null text is empty; a null ``doc_id`` counts as larger than
 any id; rows with equal ids don't repeat each other; texts under ``length``
 bytes lose nothing; an empty table gives no rows; removal may cut characters,
-so the bytes left are binary; only the text column is looked at.
+so the bytes left are binary; only the text column is looked at; any
+``length`` of 1 or more will do.
 """
 
 from __future__ import annotations
@@ -31,162 +31,68 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .anchors import BYTE_SYMBOLS, U, anchor_keys, covered, find_anchors, owned_windows, range_hashes
-from .blocks import NO_ID, Block, ask, finish, make_blocks, shard_of, split_entries
+from .anchors import BYTE_SYMBOLS, U, covered, find_anchors
+from .blocks import Block, ask, finish, make_blocks, shard_count
+from .repeats import Symbols, Windows, answer_anchors, answer_snippets, ask_anchors, ask_snippets, repeated_windows
 from .tokens import ragged_take
 
-#: Bytes of an anchor string.
+#: Bytes of an anchor string; shorter windows have anchors of half their length.
 GRAM = 24
-#: Occurrences of an anchor beyond which its windows travel one by one.
-FREQUENT = 2_000
-#: Bytes of snippets in one suffix array.
-SHARD_BYTES = 4 << 20
-
-
-def byte_symbols(block: Block) -> np.ndarray:
-    return BYTE_SYMBOLS[np.frombuffer(block.buffer, np.uint8)]
-
-
-def docs_of(block: Block, at: np.ndarray) -> np.ndarray:
-    """The document of each byte position."""
-    solid = np.flatnonzero(block.ends > block.starts)
-    return solid[np.searchsorted(block.starts[solid], at, side="right") - 1]
-
-
-# --- round 1: anchors in several documents --------------------------------
-
-
-class Anchors:
-    """A block's anchors and their distinct keys."""
-
-    def __init__(self, block: Block):
-        self.symbols = byte_symbols(block)
-        self.pos = block.extra
-        self.key = anchor_keys(self.symbols, self.pos, GRAM)
-        self.doc = docs_of(block, self.pos)
-        order = np.argsort(self.key, kind="stable")
-        new = np.ones(len(order), bool)
-        new[1:] = self.key[order[1:]] != self.key[order[:-1]]
-        self.unique = self.key[order[new]]
-        self.inverse = np.empty(len(order), np.int64)
-        self.inverse[order] = np.cumsum(new) - 1
-        self.bounds = np.flatnonzero(new)
-        self.ids = block.doc_id[self.doc][order]
-
-
-def ask_anchors(block: Block, given: list, shards: int) -> dict[int, bytes]:
-    """Entries: a key, whether several documents of the block have it, and how often it occurs."""
-    a = Anchors(block)
-    if not len(a.unique):
-        return {}
-    low, high = np.minimum.reduceat(a.ids, a.bounds), np.maximum.reduceat(a.ids, a.bounds)
-    tagged = (a.unique & ~U(1)) | (low < high).astype(np.uint64)
-    count = np.minimum(np.bincount(a.inverse), 0xFFFF).astype(np.uint16)
-    order, bounds = split_entries(shard_of(a.unique, shards), shards)
-    return {s: tagged[order[x:y]].tobytes() + count[order[x:y]].tobytes() for s, (x, y) in enumerate(zip(bounds, bounds[1:])) if y > x}
-
-
-def answer_anchors(entries: list[bytes]) -> list[bytes]:
-    """Two rows of bits: the key is in several documents; it is frequent."""
-    sizes = [len(e) // 10 for e in entries]
-    tagged = np.concatenate([np.frombuffer(e, np.uint64, n) for e, n in zip(entries, sizes)])
-    count = np.concatenate([np.frombuffer(e, np.uint16, n, 8 * n) for e, n in zip(entries, sizes)])
-    _, inverse, blocks = np.unique(tagged >> U(1), return_inverse=True, return_counts=True)
-    several = blocks > 1
-    several[inverse[(tagged & U(1)) == 1]] = True
-    frequent = several & (np.bincount(inverse, count) > FREQUENT)
-    ends = np.cumsum(sizes)
-    return [np.packbits(np.stack([several[inverse[e - n : e]], frequent[inverse[e - n : e]]]), axis=1).tobytes() for n, e in zip(sizes, ends)]
-
-
-# --- round 2: snippets around repeated anchors ------------------------------
-
-
-class Snippets:
-    """A block's snippets: runs of windows with one repeated anchor."""
-
-    def __init__(self, block: Block, given: dict[int, bytes], length: int, shards: int):
-        a = Anchors(block)
-        several, frequent = np.zeros(len(a.unique), bool), np.zeros(len(a.unique), bool)
-        order, bounds = split_entries(shard_of(a.unique, shards), shards)
-        for s, (x, y) in enumerate(zip(bounds, bounds[1:])):
-            if y > x:
-                several[order[x:y]], frequent[order[x:y]] = np.unpackbits(np.frombuffer(given[s], np.uint8).reshape(2, -1), axis=1, count=y - x).astype(bool)
-        lo, hi = owned_windows(a.pos, a.key, block.starts[a.doc], block.ends[a.doc], GRAM, length)
-        use = several[a.inverse] & (hi >= lo)
-        lo, hi, key, doc, often = lo[use], hi[use], a.key[use], a.doc[use], frequent[a.inverse][use]
-        single = ragged_take(lo[often], hi[often] - lo[often] + 1)
-        self.lo = np.concatenate([lo[~often], single])
-        self.count = np.concatenate([hi[~often] - lo[~often] + 1, np.ones(len(single), np.int64)])
-        self.doc = np.concatenate([doc[~often], np.repeat(doc[often], hi[often] - lo[often] + 1)])
-        self.hash = range_hashes(a.symbols, self.lo, self.lo + self.count - 1 + length)
-        self.key = np.concatenate([key[~often], self.hash[len(self.lo) - len(single) :]])
-        self.id = block.doc_id[self.doc]
-        order = np.lexsort((self.id, self.hash))
-        new = np.ones(len(order), bool)
-        new[1:] = self.hash[order[1:]] != self.hash[order[:-1]]
-        self.lead = order[new]  # of equal snippets the one in the smallest document
-        self.entry = np.empty(len(order), np.int64)
-        self.entry[order] = np.cumsum(new) - 1
-
-
-ENTRY = np.dtype([("key", "<u8"), ("hash", "<u8"), ("id", "<i8"), ("count", "u1")])
-
-
-def ask_snippets(block: Block, given: list, shards: int, length: int) -> dict[int, bytes]:
-    """Entries of distinct snippets (anchor, content hash, smallest id, windows), then their compressed bytes."""
-    s = Snippets(block, given[0], length, shards)
-    if not len(s.lead):
-        return {}
+#: Bits of a position in a suffix array; a rank and the rank further on share 64 bits with it.
+SPOT = 21
+#: Bytes of snippets in one suffix array (a longer snippet has one of its own).
+ARRAY_BYTES = 1 << 20
+
+
+def windows_of(length: int) -> Windows:
+    return Windows(byte_symbols, length, min(GRAM, (length + 1) // 2), False)
+
+
+def byte_symbols(block: Block) -> Symbols:
     raw = np.frombuffer(block.buffer, np.uint8)
-    order, bounds = split_entries(shard_of(s.key[s.lead], shards), shards)
-    out = {}
-    for shard, (x, y) in enumerate(zip(bounds, bounds[1:])):
-        if y > x:
-            at = s.lead[order[x:y]]
-            fields = [s.key[at], s.hash[at], s.id[at], s.count[at].astype(np.uint8)]
-            text = raw[ragged_take(s.lo[at], s.count[at] - 1 + length)]
-            out[shard] = np.uint32(len(at)).tobytes() + b"".join(f.tobytes() for f in fields) + pa.compress(text.tobytes(), codec="zstd", asbytes=True)
-    return out
+    return Symbols(BYTE_SYMBOLS[raw], block.starts, block.ends, raw)
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """All suffixes in order.
+def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """All suffixes in order; with ``depth``, in any order among those that agree in so many bytes.
 
-    Ranks by 8 bytes are refined by doubling: a suffix's next key is the rank
+    Ranks by 5 bytes are refined by doubling: a suffix's next key is the rank
     of the suffix h bytes on, and only groups of equal rank are sorted again.
+    Keys and positions are sorted together as numbers of 64 bits.
     """
     n = len(text)
-    padded = np.zeros(n + 8, np.uint8)
+    if n >= 1 << SPOT:
+        raise ValueError(f"a suffix array holds under {1 << SPOT} bytes")
+    spot, mask = U(SPOT), U((1 << SPOT) - 1)
+    padded = np.zeros(n + 4, np.uint64)
     padded[:n] = text
-    head = np.zeros(n, np.uint64)
-    for j in range(8):
-        head = (head << U(8)) | padded[j : n + j]
-    sa = np.argsort(head[::-1], kind="stable")
-    sa = n - 1 - sa  # of equal heads the shorter suffix first: zero bytes are no end
+    key = np.zeros(n, np.uint64)
+    for j in range(5):
+        key = (key << U(8)) | padded[j : n + j]
+    back = np.arange(n - 1, -1, -1, dtype=np.uint64)  # of equal heads the shorter suffix first: zero bytes are no end
+    key = np.sort((key << spot) | back)
+    sa = n - 1 - (key & mask).astype(np.int64)
+    key >>= spot
     new = np.ones(n, bool)
-    new[1:] = (head[sa[1:]] != head[sa[:-1]]) | (sa[:-1] > n - 8)
-    rank = np.zeros(n + 1, np.int64)  # behind the end: below every rank
-    first = np.flatnonzero(new)
-    rank[sa] = np.repeat(first, np.diff(np.append(first, n))) + 1
-    h = 8
-    while True:
-        sizes = np.diff(np.append(first, n))
-        tied = np.flatnonzero(np.repeat(sizes > 1, sizes))
+    new[1:] = (key[1:] != key[:-1]) | (sa[:-1] > n - 5)
+    rank = np.zeros(n + 1, np.uint64)  # behind the end: below every rank
+    h = 5
+    rank[sa] = np.cumsum(new, dtype=np.uint64)
+    while depth is None or h < depth:
+        alone = new & np.append(new[1:], True)
+        tied = np.flatnonzero(~alone)
         if not len(tied):
-            return sa
+            break
         at = sa[tied]
-        key = rank[at] * np.int64(n + 1) + rank[np.minimum(at + h, n)]
-        order = np.argsort(key, kind="stable")
-        at, key = at[order], key[order]
-        sa[tied] = at
-        cut = np.zeros(len(tied), bool)
-        cut[0] = True
+        key = np.sort((rank[at] << U(2 * SPOT)) | (rank[np.minimum(at + h, n)] << spot) | back[at])
+        sa[tied] = n - 1 - (key & mask).astype(np.int64)
+        key >>= spot
+        cut = np.ones(len(tied), bool)
         cut[1:] = key[1:] != key[:-1]
         new[tied] |= cut
-        first = np.flatnonzero(new)
-        rank[sa] = np.repeat(first, np.diff(np.append(first, n))) + 1
+        rank[sa] = np.cumsum(new, dtype=np.uint64)
         h *= 2
+    return sa
 
 
 def common_prefixes(text: np.ndarray, sa: np.ndarray, starts: np.ndarray, sizes: np.ndarray, depth: int) -> np.ndarray:
@@ -221,121 +127,73 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, starts: np.ndarray, sizes:
     return found
 
 
-def window_groups(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
-    """Group numbers of ``windows`` (positions): equal where their ``length`` bytes are equal."""
-    sa = suffix_array(text)
-    lcp = common_prefixes(text, sa, starts, sizes, length)
+def equal_strings(text: np.ndarray, sizes: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
+    """Group numbers of ``windows`` (positions), in order of their strings: equal where their ``length`` bytes are equal."""
+    sa = suffix_array(text, length)
+    lcp = common_prefixes(text, sa, np.cumsum(sizes) - sizes, sizes, length)
     group = np.empty(len(text), np.int64)
     group[sa] = np.cumsum(lcp[sa] < length)
     return group[windows]
 
 
-def earlier_windows(texts: np.ndarray, sizes: np.ndarray, counts: np.ndarray, ids: np.ndarray, length: int, most: int = SHARD_BYTES) -> np.ndarray:
-    """For each window of each snippet, whether a snippet of a smaller id holds the same window."""
-    starts = np.cumsum(sizes) - sizes
-    windows = ragged_take(starts, counts)
-    owner = np.repeat(ids, counts)
-    least = owner.copy()
-    part = (starts + sizes - 1) // most
-    edges = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(sizes))
-    at_window = np.concatenate([[0], np.cumsum(counts)])
-    sorted_strings: np.ndarray | None = None
-    sorted_least = np.zeros(0, np.int64)
-    parts = []
+def _strings(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    return np.ascontiguousarray(text[at[:, None] + np.arange(length)]).view(f"S{length}").ravel()
+
+
+def merge_arrays(text: np.ndarray, windows: np.ndarray, group: np.ndarray, arrays: list[np.ndarray], length: int) -> np.ndarray:
+    """Group numbers over several arrays; ``arrays`` lists the windows of each that others may hold."""
+    strings, numbers = np.zeros(0, f"S{length}"), np.zeros(0, np.int64)
+    out = group.copy()
+    for own in arrays:
+        _, first, inverse = np.unique(group[own], return_index=True, return_inverse=True)
+        found = _strings(text, windows[own[first]], length)  # in order, as groups are
+        number = group[own[first]]
+        if len(strings):
+            spot = np.minimum(np.searchsorted(strings, found), len(strings) - 1)
+            same = strings[spot] == found
+            number = np.where(same, numbers[spot], number)
+            found, fresh = found[~same], number[~same]
+        else:
+            fresh = number
+        out[own] = number[inverse]
+        into = np.searchsorted(strings, found)
+        strings, numbers = np.insert(strings, into, found), np.insert(numbers, into, fresh)
+    return out
+
+
+def shard_groups(text: np.ndarray, sizes: np.ndarray, counts: np.ndarray, keys: np.ndarray, length: int, most: int = ARRAY_BYTES) -> np.ndarray:
+    """Group numbers of all windows of a shard's snippets, which come in order of their ``keys``."""
+    begin = np.cumsum(sizes) - sizes
+    windows = ragged_take(begin, counts)
+    at = np.concatenate([[0], np.cumsum(counts)])
+    group = np.zeros(len(windows), np.int64)
+    edges, known = [0], 0
+    while edges[-1] < len(sizes):
+        a = edges[-1]
+        edges.append(max(a + 1, int(np.searchsorted(begin + sizes, begin[a] + most, side="right"))))
     for a, b in zip(edges, edges[1:]):
-        base, end = starts[a], starts[b - 1] + sizes[b - 1]
-        w = slice(at_window[a], at_window[b])
-        group = window_groups(texts[base:end], starts[a:b] - base, sizes[a:b], windows[w] - base, length)
-        _, first, inverse = np.unique(group, return_index=True, return_inverse=True)
-        low = np.full(len(first), NO_ID)
-        np.minimum.at(low, inverse, owner[w])
-        parts.append((w, windows[w][first], inverse, low))
-        if len(edges) > 2:
-            rows = texts[parts[-1][1][:, None] + np.arange(length)]
-            strings = np.ascontiguousarray(rows).view(f"S{length}").ravel()
-            if sorted_strings is None:
-                sorted_strings, sorted_least = strings, low.copy()
-            else:  # merge by binary search
-                spot = np.minimum(np.searchsorted(sorted_strings, strings), len(sorted_strings) - 1)
-                same = sorted_strings[spot] == strings
-                np.minimum.at(sorted_least, spot[same], low[same])
-                into = np.searchsorted(sorted_strings, strings[~same])
-                sorted_strings = np.insert(sorted_strings, into, strings[~same])
-                sorted_least = np.insert(sorted_least, into, low[~same])
-    for w, first, inverse, low in parts:
-        if sorted_strings is not None:
-            strings = np.ascontiguousarray(texts[first[:, None] + np.arange(length)]).view(f"S{length}").ravel()
-            low = sorted_least[np.searchsorted(sorted_strings, strings)]
-        least[w] = low[inverse]
-    return least < owner
-
-
-def answer_snippets(entries: list[bytes], length: int) -> list[bytes]:
-    """For each snippet the smallest id that has it, and bits for its windows that occur in a smaller id than its own."""
-    fields, texts, numbers = [], [], []
-    for e in entries:
-        n = int(np.frombuffer(e, np.uint32, 1)[0])
-        rows = np.empty(n, ENTRY)
-        at = 4
-        for name in ("key", "hash", "id", "count"):
-            kind = ENTRY[name]
-            rows[name] = np.frombuffer(e, kind, n, at)
-            at += n * kind.itemsize
-        fields.append(rows)
-        size = int(rows["count"].astype(np.int64).sum()) + n * (length - 1)
-        texts.append(np.frombuffer(pa.decompress(e[at:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8))
-        numbers.append(n)
-    rows, raw = np.concatenate(fields), np.concatenate(texts)
-    sizes = rows["count"].astype(np.int64) - 1 + length
-    starts = np.cumsum(sizes) - sizes
-    order = np.lexsort((rows["id"], rows["hash"], rows["key"]))
-    key, content = rows["key"][order], rows["hash"][order]
-    new = np.ones(len(order), bool)
-    new[1:] = (content[1:] != content[:-1]) | (key[1:] != key[:-1])
-    lead = order[new]
-    entry = np.empty(len(order), np.int64)
-    entry[order] = np.cumsum(new) - 1
-    least = rows["id"][lead]
-    bits = np.zeros(len(rows), np.uint64)
-    lead_key = rows["key"][lead]
-    _, inverse, count = np.unique(lead_key, return_inverse=True, return_counts=True)
-    contested = lead[count[inverse] > 1]
-    if len(contested):
-        text = raw[ragged_take(starts[contested], sizes[contested])]
-        counts = rows["count"][contested].astype(np.int64)
-        found = earlier_windows(text, sizes[contested], counts, rows["id"][contested], length)
-        nth = np.arange(len(found)) - np.repeat(np.cumsum(counts) - counts, counts)
-        np.bitwise_or.at(bits, np.repeat(contested, counts)[found], U(1) << nth[found].astype(np.uint64))
-    bits = bits[lead][entry]  # meant for the snippet's smallest document alone
-    least = least[entry]
-    ends = np.cumsum(numbers)
-    return [least[e - n : e].tobytes() + bits[e - n : e].tobytes() for n, e in zip(numbers, ends)]
-
-
-# --- round 3: removal -----------------------------------------------------------
-
-
-def repeated_bytes(block: Block, given: list[dict[int, bytes]], shards: int, length: int) -> np.ndarray:
-    """Which bytes of a block are removed."""
-    s = Snippets(block, given[0], length, shards)
-    least, bits = np.zeros(len(s.lead), np.int64), np.zeros(len(s.lead), np.uint64)
-    order, bounds = split_entries(shard_of(s.key[s.lead], shards), shards)
-    for shard, (x, y) in enumerate(zip(bounds, bounds[1:])):
-        if y > x:
-            data = np.frombuffer(given[1][shard], np.int64).reshape(2, -1)
-            least[order[x:y]], bits[order[x:y]] = data[0], data[1].view(np.uint64)
-    whole = least[s.entry] < s.id
-    mask = np.where(whole, ~U(0), bits[s.entry])
-    nth = np.arange(s.count.sum()) - np.repeat(np.cumsum(s.count) - s.count, s.count)
-    gone = ((np.repeat(mask, s.count) >> nth.astype(np.uint64)) & U(1)) == 1
-    return covered(np.repeat(s.lo, s.count)[gone] + nth[gone], length, len(block.buffer))
+        base, end = begin[a], begin[b - 1] + sizes[b - 1]
+        part = slice(at[a], at[b])
+        group[part] = known + equal_strings(text[base:end], sizes[a:b], windows[part] - base, length)
+        known = int(group[part].max()) + 1
+    shared = []
+    for a, b in zip(edges, edges[1:]):  # an anchor stands in several arrays only at their edges
+        wide = np.zeros(b - a, bool)
+        if a:
+            wide |= (keys[a:b] == keys[a]) & (keys[a - 1] == keys[a])
+        if b < len(sizes):
+            wide |= (keys[a:b] == keys[b - 1]) & (keys[b] == keys[b - 1])
+        shared.append(ragged_take(at[a:b][wide], counts[a:b][wide]))
+    return merge_arrays(text, windows, group, shared, length) if len(edges) > 2 else group
 
 
 def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): removed runs counted, and the bytes left."""
+    windows = windows_of(length)
 
     def rows(block: Block, given: list, shards: int) -> pa.RecordBatch:
-        gone = repeated_bytes(block, given, shards, length)
+        _, starts = repeated_windows(windows, block, given, shards)
+        gone = covered(starts, length, len(block.buffer))
         removed = np.concatenate([[0], np.cumsum(gone)])
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
@@ -347,7 +205,14 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         n_removed, n_spans = removed[block.ends] - removed[block.starts], spans[block.ends] - spans[block.starts]
         return pa.RecordBatch.from_arrays([block.ids(), pa.array(block.ends - block.starts), pa.array(n_removed), pa.array(n_spans), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    blocks = make_blocks(docs, lambda block: find_anchors(byte_symbols(block), block.starts, block.ends, GRAM, length))
-    hot = ask(blocks, [], ask_anchors, answer_anchors, "repeated-anchors")
-    seen = ask(blocks, [hot], lambda b, given, shards: ask_snippets(b, given, shards, length), lambda e: answer_snippets(e, length), "repeated-snippets")
-    return finish(blocks, [hot, seen], rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    def anchors(block: Block) -> np.ndarray:
+        return find_anchors(byte_symbols(block).symbols, block.starts, block.ends, windows.gram, length)
+
+    def judge(text, sizes, counts, keys, copied) -> np.ndarray:
+        return shard_groups(text, sizes, counts, keys, length)
+
+    blocks = make_blocks(docs, anchors)
+    shards = shard_count(blocks)
+    hot = ask(blocks, [], lambda b, given, n: ask_anchors(windows, b, n), answer_anchors, "repeated-anchors", shards)
+    seen = ask(blocks, [hot], lambda b, given, n: ask_snippets(windows, b, given, n), lambda e: answer_snippets(windows, e, judge, False), "repeated-snippets", shards)
+    return finish(blocks, [hot, seen], rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", shards)
