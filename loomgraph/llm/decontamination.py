@@ -1,32 +1,40 @@
 """Benchmark decontamination by spaced seeds.
 
 A seed is a fixed mask over consecutive words of which some are ignored, so
-substituted words do not hide a passage.  Benchmark items are hashed under
-masks chosen by their length so that no passage which counts goes without a hit; documents look up their own masked hashes, and around each hit the
-item is laid over the document and equal words are counted.  A passage counts
-where some stretch of ``window`` laid-over words (the whole item if shorter)
-has a share of at least ``similarity`` of equal words.
+substituted words do not hide a passage.  Benchmark items and documents are
+hashed under masks chosen by the items' lengths so that no passage which
+counts goes without a hit; the masked hashes are joined, and around each hit
+the item's words are laid over the document's and compared.  A passage counts
+where a stretch of ``window`` laid-over words (the whole item if shorter) has
+a share of at least ``similarity`` of equal words.
 
-Items go to the executors in blocks of a bounded number of words, one pass
-over the documents per block; documents are never joined with each other.
+A document sends on only the hashes that a bitmap of all benchmark hashes
+holds, each with the words that a stretch around it can reach; the bitmap has a
+bounded size, and what it lets through by chance finds no partner in the join.
+Seeds and items are broadcast up to ``BROADCAST_SEEDS`` and
+``BROADCAST_WORDS``, and shuffled beyond.
 
 Defined cases: words are runs of letters and digits in lower case; null and
 empty texts have none; items shorter than ``window`` have masks of their own
-length; rows with equal ids are searched one by one, and
-repeated items each get their own hits; empty tables give no hits.
+length; items of under ``LEAST`` words count only where they are a whole
+document; rows equal in id and text count once; rows with equal ids and other
+texts are searched one by one; empty tables give no hits.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialise
+from .anchors import mix
+from .tokens import ragged_take, text_slices
+
 #: By the length of a stretch and the changed words it may hold; 1: the word counts; 0: it is ignored (fixed values).
 #: Wherever these words lie, one mask fits the stretch without them: the tests enumerate all places.
 MASKS = {
@@ -42,10 +50,17 @@ MASKS = {
 }
 WINDOW = 13
 SIMILARITY = 0.8
-#: Benchmark words in one block.
-BLOCK_WORDS = 400_000
+#: Words from which an item may be part of a longer text.
+LEAST = 5
+#: Seeds and words of items up to which they are broadcast (28 bytes, some 10 bytes each).
+BROADCAST_SEEDS = 500_000
+BROADCAST_WORDS = 2_000_000
+#: Most bits of the bitmap of benchmark hashes.
+BITMAP_BITS = 24
+#: Bytes of text that a task looks at in one step.
+SLICE_BYTES = 2 << 20
 WORD = re.compile(r"\w+")
-FACTORS = np.cumprod(np.full(32, 0x9E3779B97F4A7C15, np.uint64))
+FACTORS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
 
 
 def masks_for(words: int, window: int = WINDOW, similarity: float = SIMILARITY) -> tuple[str, ...]:
@@ -58,122 +73,217 @@ def masks_for(words: int, window: int = WINDOW, similarity: float = SIMILARITY)
     return MASKS.get((stretch, changed)) or ("1" * (stretch // (changed + 1)),)
 
 
-class Seeds:
-    """Benchmark items by the hashes of their masked words."""
-
-    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, similarity: float = SIMILARITY):
-        self.window, self.similarity = window, similarity
-        self.vocabulary: dict[str, int] = {}
-        self.items: list[tuple[int, np.ndarray]] = []
-        hashes, spots = defaultdict(list), defaultdict(list)
-        for item_id, text in items:
-            words = WORD.findall((text or "").lower())
-            if not words:
-                continue
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64)
-            for mask in masks_for(len(ids), window, similarity):
-                keep = tuple(i for i, c in enumerate(mask) if c == "1")
-                h, at = self._masked(ids, keep, len(mask))
-                hashes[keep, len(mask)].append(h)
-                spots[keep, len(mask)].append(np.stack([np.full(len(at), len(self.items)), at], axis=1))
-            self.items.append((item_id, ids))
-        self.tables = []
-        for mask in hashes:
-            h, s = np.concatenate(hashes[mask]), np.concatenate(spots[mask])
-            order = np.argsort(h, kind="stable")
-            self.tables.append((*mask, h[order], s[order]))
-
-    @staticmethod
-    def _masked(ids: np.ndarray, keep: tuple[int, ...], span: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes at all starts where every counted word is known, and these starts."""
-        n = len(ids) - span + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        known = np.ones(n, bool)
+class Texts:
+    """The words of some texts, one after another."""
+
+    def __init__(self, texts: list[str | None]):
+        import xxhash
+
+        found = [WORD.findall(t.lower()) if t else [] for t in texts]
+        self.sizes = np.array([len(f) for f in found], np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        coded = pa.array([w for f in found for w in f], pa.string()).dictionary_encode()
+        self.codes = coded.indices.to_numpy().astype(np.int64)
+        self.vocabulary = coded.dictionary
+        self.hashes = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
+        self.symbols = self.hashes[self.codes]
+
+    def words(self, a: np.ndarray, b: np.ndarray) -> pa.ListArray:
+        """The words from ``a[i]`` to ``b[i]``."""
+        words = self.vocabulary.take(pa.array(self.codes[ragged_take(a, b - a)]))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(b - a)]).astype(np.int32)), words)
+
+
+def mask_key(mask: str, whole: bool) -> int:
+    """A number for a mask; ``whole`` for one that must cover its text."""
+    return int(mask, 2) << 7 | len(mask) << 1 | whole
+
+
+def masked_hashes(texts: Texts, mask: str, whole: bool, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place of the first word, hash) wherever the mask fits within a text and all counted words are ``known``."""
+    span, n = len(mask), len(texts.codes)
+    if n < span:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    ok = np.zeros(n + 1, np.int32)
+    fits = (texts.sizes == span) if whole else (texts.sizes >= span)
+    ok[texts.first[fits]] += 1
+    ok[texts.first[fits] + texts.sizes[fits] - span + 1] -= 1
+    ok = (np.cumsum(ok[:n]) > 0)[: n - span + 1]
+    keep = [i for i, c in enumerate(mask) if c == "1"]
+    if known is not None:
         for k in keep:
-            known &= ids[k : k + n] > 0
-        at = np.flatnonzero(known)
-        h = np.zeros(len(at), np.uint64)
-        for i, k in enumerate(keep):
-            x = ids[at + k].astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
-            h += (x ^ (x >> np.uint64(29))) * FACTORS[i]
-        return h, at
-
-    def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item id, first laid-over word, words laid over, equal words) of each passage, best place per item."""
-        get = self.vocabulary.get
-        words = WORD.findall(text.lower())
-        ids = np.array([get(w, 0) for w in words], np.int64)
-        if not ids.any():
-            return []
-        places = set()
-        for keep, span, table, spots in self.tables:
-            h, at = self._masked(ids, keep, span)
-            if not len(h):
-                continue
-            a, b = np.searchsorted(table, h, side="left"), np.searchsorted(table, h, side="right")
-            for i in np.flatnonzero(b > a):
-                places.update((int(item), int(at[i]) - int(pos)) for item, pos in spots[a[i] : b[i]])
-        best: dict[int, tuple[int, int, int]] = {}
-        for item, shift in sorted(places):
-            own = self.items[item][1]
-            lo, hi = max(0, -shift), min(len(own), len(ids) - shift)
-            equal = own[lo:hi] == ids[lo + shift : hi + shift]
-            window = min(self.window, len(own))
-            if len(equal) < window:
-                continue
-            sums = np.cumsum(np.concatenate([[0], equal]))
-            if (sums[window:] - sums[:-window]).max() >= self.similarity * window:
-                found = (int(equal.sum()), shift + lo, hi - lo)
-                if item not in best or found[0] > best[item][0]:
-                    best[item] = found
-        return [(self.items[i][0], start, span, equal) for i, (equal, start, span) in sorted(best.items())]
-
-
-def seed_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Seeds]:
-    """Seeds of all items, in blocks of about ``block_words`` words."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    n = -(-total // block_words)
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    for k in range(n):
-        rows = items.filter(block == k).collect() if n > 1 else items.collect()
-        yield Seeds(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is not None, r[0], r[1])))
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, item_id, word_start, n_words, n_equal) of every benchmark passage found."""
-    schema = "doc_id long, item_id long, word_start long, n_words long, n_equal long"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull())
-    found = None
-    for seeds in seed_blocks(benchmark, block_words):
-        part = rows.mapInArrow(_finder(seeds), schema)
-        found = part if found is None else found.unionAll(part)
-    return docs.sparkSession.createDataFrame([], schema) if found is None else found
-
-
-def _finder(seeds: Seeds):
+            ok &= known[k : k + len(ok)]
+    at = np.flatnonzero(ok)
+    h = np.full(len(at), mask_key(mask, whole), np.uint64)
+    for i, k in enumerate(keep):
+        h += texts.symbols[at + k] * FACTORS[i]
+    filled = np.flatnonzero(texts.sizes)
+    return filled[np.searchsorted(texts.first[filled], at, side="right") - 1], at, mix(h)
+
+
+SEEDS = "hash long, item_key long, item_id long, item_place int"
+ITEMS = "item_key long, item_id long, words array<string>"
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item_key, item_id, words) of the different rows of a benchmark that have words."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = Texts(batch.column("text").to_pylist())
+            words = texts.words(texts.first, texts.first + texts.sizes)
+            out = pa.RecordBatch.from_arrays([batch.column("item_key"), batch.column("item_id"), words], ["item_key", "item_id", "words"])
+            yield out.filter(pa.array(texts.sizes > 0))
+
+    rows = benchmark.filter("text is not null").select(F.xxhash64("text").alias("item_key"), F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    return materialise(rows.mapInArrow(split, ITEMS), "benchmark-items")
+
+
+def _seeds(items: DataFrame, window: int, similarity: float, least: int) -> DataFrame:
+    """Masked hashes of all items; ``place`` is where the mask starts in the item."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, words in enumerate(batch.column("words").to_pylist()):
+                texts, rows = Texts([" ".join(words)]), []
+                for mask in masks_for(len(words), window, similarity):
+                    _, at, h = masked_hashes(texts, mask, len(words) < least)
+                    rows.append((h, at, np.full(len(at), mask_key(mask, len(words) < least))))
+                h, at, key = (np.concatenate(c) for c in zip(*rows))
+                item = pa.array(np.full(len(h), i, np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), batch.column("item_key").take(item), batch.column("item_id").take(item), pa.array(at.astype(np.int32)), pa.array(key.astype(np.int64))],
+                    ["hash", "item_key", "item_id", "item_place", "mask"],
+                )
+
+    return materialise(items.mapInArrow(hashes, SEEDS + ", mask long"), "benchmark-seeds")
+
+
+def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
+    """Which values the upper ``bits`` of a column of hashes take; 8 bytes for each 64 of them reach the driver at most."""
+    spot = F.shiftrightunsigned("hash", 64 - bits)
+    rows = hashes.select(F.shiftright(spot, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - bits}) & 63 as int))").alias("b"))
+    out = np.zeros(max(1, (1 << bits) // 64), np.int64)
+    for w, b in rows.groupBy("w").agg(F.bit_or("b")).collect():
+        out[w] = b
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
+def _bits_for(n: int) -> int:
+    return min(BITMAP_BITS, max(10, int(16 * n).bit_length()))
+
+
+def _hits(docs: DataFrame, masks: list[tuple[str, bool]], words: np.ndarray, seeds: np.ndarray, reach: int) -> DataFrame:
+    """Masked hashes of documents that the bitmap of ``seeds`` holds, with the words around them.
+
+    ``place`` is where the mask starts in the document, ``before`` how many of the words lie in front of it.
+    """
+    word_shift, seed_shift = (np.uint64(65 - len(b).bit_length()) for b in (words, seeds))
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = [(d, *h) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for h in seeds.find(t)]
-            if hits:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*hits)], ["doc_id", "item_id", "word_start", "n_words", "n_equal"])
+            for part in text_slices(batch, SLICE_BYTES):
+                texts = Texts(part.column("text").to_pylist())
+                known = words[(mix(texts.hashes) >> word_shift).astype(np.int64)][texts.codes]
+                for mask, whole in masks:
+                    doc, at, h = masked_hashes(texts, mask, whole, known)
+                    use = seeds[(h >> seed_shift).astype(np.int64)]
+                    if not use.any():
+                        continue
+                    doc, at, h = doc[use], at[use], h[use]
+                    a = np.maximum(texts.first[doc], at - reach)
+                    b = np.minimum(texts.first[doc] + texts.sizes[doc], at + len(mask) + reach)
+                    rows = pa.array(doc)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("doc_id").take(rows), part.column("text_key").take(rows), pa.array(h.view(np.int64)), pa.array((at - texts.first[doc]).astype(np.int64)), pa.array((at - a).astype(np.int32)), pa.array(texts.sizes[doc]), texts.words(a, b)],
+                        ["doc_id", "text_key", "hash", "place", "before", "doc_words", "around"],
+                    )
+
+    return docs.mapInArrow(find, "doc_id long, text_key long, hash long, place long, before int, doc_words long, around array<string>")
+
+
+def matching_words(own: list[str], place: int, around: list[str], before: int, window: int, similarity: float) -> tuple[int, int, list[int]] | None:
+    """Where an item laid over a document counts: first and last item word of the stretches, and the equal ones in them.
+
+    Word ``place`` of the item lies on word ``before`` of ``around``.
+    """
+    shift = before - place
+    lo, hi = max(0, -shift), min(len(own), len(around) - shift)
+    window = min(window, len(own))
+    if hi - lo < window:
+        return None
+    equal = np.fromiter((x == y for x, y in zip(own[lo:hi], around[lo + shift : hi + shift])), bool, hi - lo)
+    sums = np.cumsum(np.concatenate([[0], equal]))
+    counts = np.flatnonzero(sums[window:] - sums[:-window] >= similarity * window)
+    if not len(counts):
+        return None
+    edge = np.zeros(len(equal) + 1, np.int64)
+    np.add.at(edge, counts, 1)
+    np.add.at(edge, counts + window, -1)
+    return lo + int(counts[0]), lo + int(counts[-1]) + window - 1, (lo + np.flatnonzero(equal & (np.cumsum(edge[:-1]) > 0))).tolist()
+
+
+def _verified(pairs: DataFrame, window: int, similarity: float, least: int) -> DataFrame:
+    """Hits whose passage counts: where it begins in the document, its words, and which of the item's are equal."""
+    names = ["doc_id", "text_key", "item_key", "item_id", "shift", "low", "high", "equal"]
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("words", "item_place", "around", "before", "place", "doc_words")]
+            keep, rows = [], []
+            for i, (own, at, around, before, place, doc_words) in enumerate(zip(*cols)):
+                found = matching_words(own, at, around, before, window, similarity) if len(own) >= least or len(own) == doc_words else None
+                if found:
+                    keep.append(i)
+                    rows.append((place - at, *found))
+            if keep:
+                kept = batch.take(pa.array(keep))
+                shift, low, high, equal = zip(*rows)
+                yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in names[:4]), pa.array(shift, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(equal, pa.list_(pa.int32()))], names)
+
+    return pairs.mapInArrow(verify, "doc_id long, text_key long, item_key long, item_id long, shift long, low int, high int, equal array<int>")
+
+
+def passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY, least: int = LEAST) -> DataFrame:
+    """(doc_id, text_key, item_id, word_start, n_words, n_equal): the best place of each item in each document."""
+    items = _items(benchmark)
+    seeds = _seeds(items, window, similarity, least)
+    lengths = items.select(F.size("words").alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("items")).collect()  # as many rows as different lengths
+    masks = sorted({(m, n < least) for n, _ in lengths for m in masks_for(n, window, similarity)})
+    n_words, n_seeds = sum(n * k for n, k in lengths), seeds.count()
+    words = items.select(F.explode("words").alias("word")).distinct().mapInArrow(_word_hashes, "hash long")
+    found = _hits(
+        docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text"),
+        masks, _bitmap(words, _bits_for(n_words)), _bitmap(seeds, _bits_for(n_seeds)), window - 1,
+    )
+    slim, whole = seeds.drop("mask"), items
+    if n_seeds <= BROADCAST_SEEDS:
+        slim = F.broadcast(slim)
+    if n_words <= BROADCAST_WORDS:
+        whole = F.broadcast(whole)
+    pairs = found.join(slim, "hash").alias("f").join(whole.alias("i"), F.expr("f.item_key = i.item_key and f.item_id <=> i.item_id")).select("f.*", "i.words")
+    laid = _verified(pairs, window, similarity, least).groupBy("doc_id", "text_key", "item_key", "item_id", "shift")
+    laid = laid.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.size(F.array_distinct(F.flatten(F.collect_set("equal")))).alias("n_equal"))
+    place = F.struct(F.col("n_equal").cast("long").alias("n_equal"), (-F.col("shift") - F.col("low")).alias("back"), (F.col("high") - F.col("low") + 1).cast("long").alias("n_words"))
+    best = laid.groupBy("doc_id", "text_key", "item_key", "item_id").agg(F.max(place).alias("p"))
+    return best.select("doc_id", "text_key", "item_id", (-F.col("p.back")).alias("word_start"), "p.n_words", "p.n_equal")
 
-    return find
 
+def _word_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import xxhash
 
-def is_clean(text: Column, seeds: Seeds) -> Column:
-    """Whether a text holds no passage of these items."""
+    for batch in batches:
+        hashes = mix(np.array([xxhash.xxh64_intdigest(w) for w in batch.column("word").to_pylist()], np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], ["hash"])
 
-    @F.arrow_udf("boolean")
-    def clean(texts: pa.Array) -> pa.Array:
-        return pa.array([not seeds.find(t) for t in texts.to_pylist()], pa.bool_())
 
-    return clean(F.coalesce(text, F.lit("")))
+def contaminated(docs: DataFrame, benchmark: DataFrame, **rule) -> DataFrame:
+    """(doc_id, item_id, word_start, n_words, n_equal) of every benchmark passage found; ``rule`` as for ``passages``."""
+    return passages(docs, benchmark, **rule).drop("text_key")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, **rule) -> DataFrame:
     """The documents, all columns, that hold no benchmark passage."""
-    for seeds in seed_blocks(benchmark, block_words):
-        docs = docs.filter(is_clean(F.col("text"), seeds))
-    return docs
+    found = passages(docs, benchmark, **rule).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    at = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key"))
+    return docs.join(found, at, "left_anti")

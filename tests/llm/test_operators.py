@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from loomgraph.llm import anchors, decontamination, licenses, packing, phrase_dedup, quality, queries, sharding, simhash, suffix_dedup, token_orc, toxicity
+from loomgraph.llm import anchors, licenses, packing, phrase_dedup, quality, queries, sharding, simhash, suffix_dedup, token_orc, toxicity
 from loomgraph.llm.tokens import Encoder, load_tokenizer, vocabulary_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, part int, rank string, hilbert string"
@@ -336,41 +336,6 @@ def test_thresholds_cover_the_radius():
             assert sum(t + 1 for _, t in plan) == radius + 1 and len({b for g, _ in plan for b in g}) == sum(len(g) for g, _ in plan)
 
 
-def test_decontamination(spark, docs, empty):
-    rng = random.Random(11)
-    words = [f"w{i}" for i in range(400)]
-    items = [" ".join(rng.choice(words) for _ in range(n)) for n in (15, 30, 50, 5)]
-    swapped = items[1].split()
-    swapped[4], swapped[17] = "other", "words"
-    texts = [f"before {items[0].upper()} after", "x " + " ".join(swapped), " ".join(rng.choice(words) for _ in range(300)), items[2][: len(items[2]) // 2], None, "", f"{items[3]}", items[2] + " " + items[0]]
-    table = spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)], "doc_id long, text string, item_id string")
-    benchmark = spark.createDataFrame([*enumerate(items), (9, None), (None, "")], "item_id long, text string")
-    for block in (400_000, 20):
-        found = {(r.doc_id, r.item_id): (r.n_equal, r.n_words) for r in decontamination.contaminated(table, benchmark, block).collect()}
-        assert set(found) == {(0, 0), (1, 1), (3, 2), (6, 3), (7, 0), (7, 2)} and found[1, 1] == (28, 30)
-        kept = decontamination.decontaminate(table, benchmark, block)
-        assert sorted(r.doc_id for r in kept.collect()) == [2, 4, 5] and kept.columns == table.columns
-    assert decontamination.contaminated(empty, benchmark).count() == 0
-    assert decontamination.contaminated(table, benchmark.limit(0)).count() == 0 and decontamination.decontaminate(table, benchmark.limit(0)).count() == 8
-
-
-@pytest.mark.parametrize("similarity", [0.8, 0.7, 0.95])
-def test_seeds_hit_every_passage_that_counts(similarity):
-    from itertools import combinations
-
-    for n in range(1, 18):
-        item = [f"w{i}" for i in range(n)]
-        seeds = decontamination.Seeds([(7, " ".join(item))], similarity=similarity)
-        stretch = min(n, 13)
-        changed = max(k for k in range(stretch) if stretch - k >= similarity * stretch)
-        for at in range(n - stretch + 1):
-            for gone in combinations(range(at, at + stretch), changed):
-                # only the stretch is left, and ``gone`` words of it are others, unknown or from elsewhere in the item
-                for other in ("x", item[0]):
-                    text = [w if at <= i < at + stretch and i not in gone else other for i, w in enumerate(item)]
-                    assert [h[0] for h in seeds.find("y z " + " ".join(text) + " y")] == [7], (n, at, gone)
-
-
 def brute_counts(text):
     words = [w.decode() for w in WORDS.findall(text.encode())]
     seen, dup = set(), 0
