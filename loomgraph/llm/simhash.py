@@ -279,8 +279,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int
     """(doc_id, fp, component_id): the smallest doc_id reachable over links between fingerprints."""
     prints = fingerprints(docs, words, seed, verify_words)
     classes = materialise(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("check").alias("check"), F.min("doc_id").alias("first")), "fingerprint-classes")
+    if classes.isEmpty():
+        return prints.select("doc_id", "fp", F.col("doc_id").alias("component_id"))
     labels = component_labels(links(classes, radius, verify_radius, parts)).withColumnRenamed("id", "node")
-    labelled = classes.join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
-    names = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
+    labelled = materialise(classes.join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")), "fingerprint-labels")
+    # written, so that the join below may split a component that many fingerprints share
+    names = materialise(labelled.groupBy("component").agg(F.min("first").alias("component_id")), "fingerprint-names")
     groups = labelled.join(names, "component").select("node", "component_id")
     return prints.join(groups, "node").select("doc_id", "fp", "component_id")
