@@ -21,10 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialise
+from .tokens import ragged_take, release_memory, text_slices
 
 #: Documents that training reads at most.
 POSITIVES = 3_000
@@ -36,10 +38,11 @@ SIGNIFICANT = 20.0
 #: Bytes of the beginnings of words that count as features, and levels of distinct words with the same one.
 STEMS = (4, 5, 6, 7, 8)
 LEVELS = (1, 2, 4)
-#: Words whose features a worker remembers.
-MEMORY = 500_000
 #: ASCII punctuation counts as blank.
 BLANKS = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
+SOLID = np.array([b != 32 for b in BLANKS])
+#: Bytes of text scored at once.
+SLICE_BYTES = 1 << 20
 
 
 def word_marks(word: bytes) -> list[bytes]:
@@ -58,31 +61,60 @@ def text_features(text: str) -> list[bytes]:
     return [m if k == 1 else m + b"#%d" % k for m, n in counts.items() for k in LEVELS if n >= k]
 
 
+def words_of_texts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(text, word) of the different words of each text, and the words; the same ones as ``text_words`` finds."""
+    joined = "\0".join([(t or "").replace("\0", " ") for t in texts]).lower().encode()
+    raw = np.frombuffer(joined, np.uint8)
+    solid = np.zeros(len(raw) + 2, np.int8)
+    solid[1:-1] = SOLID[raw]
+    step = np.diff(solid)
+    begin, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    owner = np.searchsorted(np.flatnonzero(raw == 0), begin)
+    offsets = np.concatenate([[0], np.cumsum(end - begin)])
+    words = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(raw[ragged_take(begin, end - begin)])])
+    coded = words.dictionary_encode()
+    n = max(1, len(coded.dictionary))
+    owner, code = np.divmod(np.unique(owner * n + coded.indices.to_numpy()), n)
+    return owner, code, coded.dictionary
+
+
 @dataclass
 class Model:
-    """Weights of features; ``marks`` are the marks that any feature needs."""
+    """Weights of features: words, their beginnings (``*``), and levels of these (``#``)."""
 
     weights: dict[bytes, float]
     bias: float
 
     def __post_init__(self) -> None:
-        self.marks = {f.rsplit(b"#", 1)[0] for f in self.weights}
-        self.known: dict[bytes, list[bytes]] = {}
-
-    def score(self, text: str) -> float:
-        counts: Counter[bytes] = Counter()
-        known = self.known
-        for word in text_words(text):
-            found = known.get(word)
-            if found is None:
-                if len(known) > MEMORY:
-                    known.clear()
-                found = known[word] = [m for m in word_marks(word) if m in self.marks]
-            if found:
-                counts.update(found)
-        weights = self.weights
-        margin = self.bias + sum([weights.get(m if k == 1 else m + b"#%d" % k, 0.0) for m, n in sorted(counts.items()) for k in LEVELS if n >= k])
-        return float(1 / (1 + np.exp(-np.clip(margin, -60, 60))))
+        marks = sorted({f.rsplit(b"#", 1)[0] for f in self.weights})
+        self.at_level = np.array([[self.weights.get(m if k == 1 else m + b"#%d" % k, 0.0) for k in LEVELS] for m in marks]).reshape(-1, len(LEVELS))
+        self.values = {0: ([], [])} | {n: ([], []) for n in STEMS}  # by the length of a beginning; 0: whole words
+        for i, m in enumerate(marks):
+            size = len(m) - 1 if m.endswith(b"*") else 0
+            self.values[size][0].append(m.removesuffix(b"*"))
+            self.values[size][1].append(i)
+
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        """The score of each text."""
+        owner, code, words = words_of_texts(texts)
+        sizes = pc.binary_length(words).to_numpy()
+        texts_of, marks_of = [], []
+        for size, (values, marks) in self.values.items():
+            if not values:
+                continue
+            heads = pc.binary_slice(words, 0, size) if size else words
+            spot = pc.index_in(heads, pa.array(values, pa.large_binary())).fill_null(-1).to_numpy()
+            spot = np.where((sizes > size) & (spot >= 0), np.array(marks)[spot], -1)[code]
+            texts_of.append(owner[spot >= 0])
+            marks_of.append(spot[spot >= 0])
+        margin = np.full(len(texts), self.bias)
+        if texts_of:
+            n = len(self.at_level)
+            found, counts = np.unique(np.concatenate(texts_of) * n + np.concatenate(marks_of), return_counts=True)
+            own, mark = np.divmod(found, n)
+            gain = sum(np.where(counts >= k, self.at_level[mark, i], 0.0) for i, k in enumerate(LEVELS))
+            margin += np.bincount(own, gain, len(texts))
+        return 1 / (1 + np.exp(-np.clip(margin, -60, 60)))
 
 
 def nn_pu(pos: list[np.ndarray], unl: list[np.ndarray], width: int, prior: float, *, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -125,8 +157,12 @@ def _vocabulary(sample: DataFrame, size: int, least: float) -> list[bytes]:
     return [bytes(r[0]) for r in counts.withColumn("g", g).filter(F.col("g") >= least).orderBy(F.desc("g"), "word").limit(size).select("word").collect()]
 
 
-def train(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unlabelled: int = UNLABELLED, vocabulary: int = VOCABULARY) -> Model:
-    """A model from the toxic rows of ``labels`` and from ``docs`` as unlabelled; pass only rows meant for training."""
+def train(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unlabelled: int = UNLABELLED, vocabulary: int = VOCABULARY, prior: float | None = None) -> Model:
+    """A model from the toxic rows of ``labels`` and from ``docs`` as unlabelled; pass only rows meant for training.
+
+    ``prior`` is the share of toxic documents among all, by default their share
+    among the labelled ones; give it where labels were not drawn at random.
+    """
     known = labels.filter("doc_id is not null and toxic is not null").select("doc_id", "toxic")
     n_known, n_toxic = known.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not n_toxic:
@@ -156,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unl
     unl = [np.array(s, np.int64) for p, s in found if not p]
     if not pos:
         return Model({}, -60.0)
-    weight, bias = nn_pu(pos, unl, len(words), n_toxic / n_known)
+    weight, bias = nn_pu(pos, unl, len(words), n_toxic / n_known if prior is None else prior)
     return Model({w: float(x) for w, x in zip(words, weight)}, bias)
 
 
@@ -165,7 +201,10 @@ def score(text: Column, model: Model) -> Column:
 
     @F.arrow_udf("double")
     def apply(texts: pa.Array) -> pa.Array:
-        return pa.array([model.score(t) for t in texts.to_pylist()], pa.float64())
+        rows = pa.RecordBatch.from_arrays([texts], ["text"])
+        scores = [model.score(part.column("text").to_pylist()) for part in text_slices(rows, SLICE_BYTES)]
+        release_memory()
+        return pa.array(np.concatenate(scores or [np.zeros(0)]))
 
     return apply(F.coalesce(text, F.lit("")))
 
