@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import default_partitions, fresh_path, materialise
+from .tokens import release_memory
 
 #: Bytes of text in a block; a longer document is a block of its own.
 BLOCK_BYTES = 2 << 20
@@ -110,6 +111,7 @@ def make_blocks(docs: DataFrame, prepare: Callable[[Block], np.ndarray], keep: l
                     yield flush()
         if held:
             yield flush()
+        release_memory()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *(keep or []))
     name = f"blocks_{uuid.uuid4().hex}"
@@ -161,10 +163,12 @@ def ask(blocks: DataFrame, answers: list[DataFrame], question: Callable, answer:
             if entries:
                 keys = sorted(entries)
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(keys)), pa.array(keys, pa.int32()), pa.array([entries[k] for k in keys], pa.binary())], ["block", "shard", "data"])
+        release_memory()
 
     def reply(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
         found = answer(table.column("data").to_pylist())
+        release_memory()
         return pa.table({"block": table.column("block"), "shard": table.column("shard"), "data": pa.array(found, pa.binary())})
 
     schema = "block long, shard int, data binary"
@@ -180,6 +184,7 @@ def finish(blocks: DataFrame, answers: list[DataFrame], result: Callable[[Block,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, content, given in _blocks_in(batches, rounds):
             yield result(content, given, shards)
+        release_memory()
 
     return _with_answers(blocks, answers).mapInArrow(run, schema)
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise
 from .anchors import mix
-from .tokens import ragged_take, text_slices
+from .tokens import ragged_take, release_memory, text_slices
 
 #: By the length of a stretch and the changed words it may hold; 1: the word counts; 0: it is ignored (fixed values).
 #: Wherever these words lie, one mask fits the stretch without them: the tests enumerate all places.
@@ -198,6 +198,7 @@ def _hits(docs: DataFrame, masks: list[tuple[str, bool]], words: np.ndarray, see
                         [part.column("doc_id").take(rows), part.column("text_key").take(rows), pa.array(h.view(np.int64)), pa.array((at - texts.first[doc]).astype(np.int64)), pa.array((at - a).astype(np.int32)), pa.array(texts.sizes[doc]), texts.words(a, b)],
                         ["doc_id", "text_key", "hash", "place", "before", "doc_words", "around"],
                     )
+            release_memory()
 
     return docs.mapInArrow(find, "doc_id long, text_key long, hash long, place long, before int, doc_words long, around array<string>")
 
@@ -262,6 +263,7 @@ def passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, simila
     if n_words <= BROADCAST_WORDS:
         whole = F.broadcast(whole)
     pairs = found.join(slim, "hash").alias("f").join(whole.alias("i"), F.expr("f.item_key = i.item_key and f.item_id <=> i.item_id")).select("f.*", "i.words")
+    pairs = materialise(pairs, "benchmark-pairs")  # so that no task needs two Python workers
     laid = _verified(pairs, window, similarity, least).groupBy("doc_id", "text_key", "item_key", "item_id", "shift")
     laid = laid.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.size(F.array_distinct(F.flatten(F.collect_set("equal")))).alias("n_equal"))
     place = F.struct(F.col("n_equal").cast("long").alias("n_equal"), (-F.col("shift") - F.col("low")).alias("back"), (F.col("high") - F.col("low") + 1).cast("long").alias("n_words"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialise
-from .tokens import append_id, shared_encoder, text_slices
+from .tokens import append_id, release_memory, shared_encoder, text_slices
 
 PIECES = "doc_id long, piece int, start long, length long, part int, rank long, ids binary"
 
@@ -66,6 +66,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, *
                     [rows.column("doc_id").take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(np.full(len(owner), part, np.int32)), pa.array(rank), ids],
                     ["doc_id", "piece", "start", "length", "part", "rank", "ids"],
                 )
+        release_memory()
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return materialise(rows.mapInArrow(cut, PIECES), "token-pieces")
