@@ -1,12 +1,14 @@
 """Shared storage for intermediate tables.
 
 Every intermediate table and checkpoint goes to the folder that the cluster
-names in ``spark.checkpoint.dir``, which driver and executors share.  Where
-the setting is absent (tests, local mode) a local folder is used.
+names in ``spark.checkpoint.dir``, which driver and executors share.  In local
+mode a local folder takes its place where the setting is absent; on a cluster
+that is an error, since executors would not see each other's files.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = _LOCAL.get(sc.applicationId)
         if base is None:
             base = _LOCAL[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
