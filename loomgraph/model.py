@@ -117,6 +117,24 @@ class Graph:
         counts = self.edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
         return self.nodes.select("id").join(counts, "id", "left").select("id", F.coalesce("degree", F.lit(0).cast("long")).alias("degree"))
 
+    def in_degrees(self) -> DataFrame:
+        """(id, degree): stored rows that enter each node."""
+        return self.transpose().out_degrees()
+
+    def has_edge(self, source, target) -> bool:
+        """Whether a stored row leads from one label to the other."""
+        a, b = self.id_of(source), self.id_of(target)
+        return a is not None and b is not None and not self.edges.filter((F.col("src") == a) & (F.col("dst") == b)).isEmpty()
+
+    def successors(self, label) -> DataFrame:
+        """(label, weight) of the rows that leave a node; none for an unknown label."""
+        a = self.id_of(label)
+        return self.labelled(self.edges.filter(F.col("src") == F.lit(a)).select(F.col("dst").alias("id"), "weight"))
+
+    def predecessors(self, label) -> DataFrame:
+        """(label, weight) of the rows that enter a node; none for an unknown label."""
+        return self.transpose().successors(label)
+
     def simple(self) -> DataFrame:
         """(src, dst): both directions of every distinct edge without loops."""
         rows = self.edges.filter("src <> dst").select("src", "dst")

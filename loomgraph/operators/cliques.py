@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Graph
+from ..storage import checkpoint
 from . import kernels
 from .connectivity import by_component, core_numbers
 
@@ -15,33 +16,34 @@ def maximal_cliques(g: Graph) -> DataFrame:
     """(clique): sorted ids of every maximal clique; a lone node is one.
 
     Nodes are ordered by core number; each finds the cliques of which it is
-    the first, among its neighbours alone, as a task of its own.
+    the first, among its later neighbours, as a task of its own.  Earlier
+    neighbours only matter where they share a triangle with a later one.
     """
     links = g.simple()
     rank = core_numbers(g).select("id", F.struct("core", "id").alias("rank"))
-    around = links.select(F.col("src").alias("v"), F.col("dst").alias("a"))
-    pairs = around.join(links.select(F.col("src").alias("a"), F.col("dst").alias("b")), "a").join(around.select("v", F.col("a").alias("b")), ["v", "b"]).filter("a < b").select("v", "a", "b")
-    lone = around.select("v", "a", F.lit(None).cast("long").alias("b"))
-    later = around.join(rank.select(F.col("id").alias("v"), F.col("rank").alias("rv")), "v").join(rank.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a").filter("ra > rv")
+    later = links.join(rank.select(F.col("id").alias("src"), F.col("rank").alias("rs")), "src").join(rank.select(F.col("id").alias("dst"), F.col("rank").alias("rd")), "dst")
+    later = checkpoint(later.filter("rd > rs").select(F.col("src").alias("v"), F.col("dst").alias("a")))
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+    triangles = later.toDF("x", "y").join(later.toDF("y", "z"), "y").join(later.toDF("x", "z"), ["x", "z"])
+    pairs = triangles.select(F.explode(F.array(F.struct(x.alias("v"), y.alias("a"), z.alias("b")), F.struct(y.alias("v"), x.alias("a"), z.alias("b")))).alias("p")).select("p.*")
     marks = later.select("v", "a", F.lit(-1).cast("long").alias("b"))
 
     def kernel(part: pd.DataFrame) -> pd.DataFrame:
         v = int(part["v"].iloc[0])
         adj: dict[int, set[int]] = {}
-        first, second = set(), set()
-        for a, b in zip(part["a"], part["b"]):
-            if pd.isna(b):
-                first.add(int(a))
-                adj.setdefault(int(a), set())
-            elif b == -1:
-                second.add(int(a))
+        own = set()
+        for a, b in zip(part["a"].tolist(), part["b"].tolist()):
+            adj.setdefault(a, set())
+            if b == -1:
+                own.add(a)
             else:
-                adj.setdefault(int(a), set()).add(int(b))
-                adj.setdefault(int(b), set()).add(int(a))
-        found = kernels.maximal_cliques(second, first - second, adj)
+                adj[a].add(b)
+                adj.setdefault(b, set()).add(a)
+        found = kernels.maximal_cliques(own, set(adj) - own, adj)
         return pd.DataFrame({"clique": pd.Series([sorted([v, *c]) for c in found], dtype=object)})
 
-    cliques = lone.unionAll(marks).unionAll(pairs).groupBy("v").applyInPandas(kernel, "clique array<long>")
+    first = marks.select("v").distinct()  # a node without later neighbours begins no clique
+    cliques = marks.unionAll(pairs.join(first, "v", "left_semi")).groupBy("v").applyInPandas(kernel, "clique array<long>")
     alone = g.nodes.select("id").join(links.select(F.col("src").alias("id")), "id", "left_anti").select(F.array("id").alias("clique"))
     return cliques.unionAll(alone)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..loop import fixpoint
 from ..model import Graph
+from ..storage import checkpoint
 from . import kernels
 from .connectivity import by_component
 
@@ -53,7 +54,7 @@ def _levels(g: Graph, refine: bool, seed: int, **options) -> DataFrame:
         return pd.DataFrame([(k, v, c) for k, level in enumerate(found) for v, c in sorted(level.items())], columns=["level", "id", "community"])
 
     rows = g.edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    found = by_component(g, rows).groupBy("component").applyInPandas(kernel, "level int, id long, community long").persist()
+    found = checkpoint(by_component(g, rows).groupBy("component").applyInPandas(kernel, "level int, id long, community long"))
     alone = g.nodes.select("id").join(found.select("id").distinct(), "id", "left_anti").select(F.lit(0).alias("level"), "id", F.col("id").alias("community"))
     out = found.unionAll(alone)
     # a component with fewer levels keeps its last one in the coarser levels
