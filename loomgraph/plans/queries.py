@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..model import Graph
 from ..operators import centrality, cliques, community, connectivity, flow, health, metrics, mst, paths, transform
 from ..sources import files, generators
-from ..storage import fresh_path
+from ..storage import checkpoint, fresh_path
 from . import graphs as G
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,10 +38,12 @@ def _score(df: DataFrame) -> DataFrame:
 
 # --- counts and degrees ----------------------------------------------------
 
-_query("node_count", G.copurchase, lambda g: g.node_count(), f"with {G.COPURCHASE} select count(*) as node_count from v")
-_query("edge_count", G.copurchase, lambda g: g.edge_count(), f"with {G.COPURCHASE} select count(*) as edge_count from e")
+_query("node_count", G.copurchase_full, lambda g: g.node_count(), f"with {G.COPURCHASE_FULL} select count(*) as node_count from v")
+_query("edge_count", G.copurchase_full, lambda g: g.edge_count(), f"with {G.COPURCHASE_FULL} select count(*) as edge_count from e")
 _query("node_degrees", G.copurchase_full, lambda g: g.out_degrees(), f"with {G.COPURCHASE_FULL} select id, count(src)::bigint as degree from v left join e on id = src group by id")
 _query("labels_and_ids", G.event_flow, lambda g: g.nodes.select("id", "label"), f"with {G.EVENT_FLOW} select id, label from names")
+_query("in_degrees", G.trade_top3, lambda g: g.in_degrees(), f"with {G.TRADE_TOP3} select id, count(dst)::bigint as degree from v left join e on id = dst group by id")
+_query("predecessors", G.event_flow, lambda g: g.predecessors(g.label_of(0)), f"with {G.EVENT_FLOW} select label, w as weight from e join names on id = src where dst = 0")
 _query("all_edges", G.event_flow, lambda g: g.all_edges(), f"with {G.EVENT_FLOW} select a as source, b as target, w as weight from flow")
 _query(
     "degree_centrality", G.trade_top3, lambda g: _score(metrics.degree_centrality(g)),
@@ -50,7 +52,7 @@ _query(
 
 # --- metrics ------------------------------------------------------------------
 
-_query("density", G.copurchase, lambda g: _rounded(metrics.density(g), "density"), f"with {G.COPURCHASE} select round((select count(*) from e)::double / (n * (n - 1)), 6) as density from (select count(*) as n from v)")
+_query("density", G.copurchase_full, lambda g: _rounded(metrics.density(g), "density"), f"with {G.COPURCHASE_FULL} select round((select count(*) from e)::double / (n * (n - 1)), 6) as density from (select count(*) as n from v)")
 _TRIANGLES = "select count(*) as triangle_count from e a join e b on a.dst = b.src and a.src < a.dst and b.src < b.dst join e c on c.src = a.src and c.dst = b.dst"
 _query("triangle_count", G.copurchase, metrics.triangle_count, f"with {G.COPURCHASE} {_TRIANGLES}")
 _query("triangle_count_full", G.copurchase_full, metrics.triangle_count, f"with {G.COPURCHASE_FULL} {_TRIANGLES}")
@@ -59,10 +61,12 @@ _CLUSTERING = (
     "cc as (select k.id, case when k >= 2 then 2.0 * coalesce(t, 0) / (k * (k - 1)) else 0 end::double as score from k left join t using (id))"
 )
 _query("local_clustering", G.copurchase, lambda g: _score(metrics.local_clustering(g)), f"with {G.COPURCHASE}, {_CLUSTERING} select id, round(score, 6) as score from cc")
+_query("local_clustering_full", G.copurchase_full, lambda g: _score(metrics.local_clustering(g)), f"with {G.COPURCHASE_FULL}, {_CLUSTERING} select id, round(score, 6) as score from cc")
 _query("average_clustering", G.copurchase, lambda g: _rounded(metrics.average_clustering(g), "average_clustering"), f"with {G.COPURCHASE}, {_CLUSTERING} select round(avg(score), 6) as average_clustering from cc")
+_query("average_clustering_full", G.copurchase_full, lambda g: _rounded(metrics.average_clustering(g), "average_clustering"), f"with {G.COPURCHASE_FULL}, {_CLUSTERING} select round(avg(score), 6) as average_clustering from cc")
 _query(
-    "assortativity", G.copurchase, lambda g: _rounded(metrics.assortativity(g), "assortativity"),
-    f"with {G.COPURCHASE}, k as (select src as id, count(*)::double as k from e group by 1) select round(corr(a.k, b.k), 6) as assortativity from e join k a on a.id = src join k b on b.id = dst",
+    "assortativity", G.copurchase_full, lambda g: _rounded(metrics.assortativity(g), "assortativity"),
+    f"with {G.COPURCHASE_FULL}, k as (select src as id, count(*)::double as k from e group by 1) select round(corr(a.k, b.k), 6) as assortativity from e join k a on a.id = src join k b on b.id = dst",
 )
 _REGION = "m as (select n_nationkey::bigint as id, n_regionkey as c from nation)"
 
@@ -122,7 +126,7 @@ _PAGERANK = (
 )
 _N = ", n as (select count(*)::double as n from v)"
 _query("pagerank", G.trade_top3, lambda g: _score(centrality.pagerank(g, max_iterations=10, tolerance=0)), _rounds_sql(G.TRADE_TOP3, "1.0 / (select n from n)", _PAGERANK, 10, f"{_N}, {_OUT}"))
-_query("pagerank_copurchase", G.copurchase, lambda g: _score(centrality.pagerank(g, max_iterations=6, tolerance=0)), _rounds_sql(G.COPURCHASE, "1.0 / (select n from n)", _PAGERANK, 6, f"{_N}, {_OUT}"))
+_query("pagerank_copurchase", G.copurchase_full, lambda g: _score(centrality.pagerank(g, max_iterations=6, tolerance=0)), _rounds_sql(G.COPURCHASE_FULL, "1.0 / (select n from n)", _PAGERANK, 6, f"{_N}, {_OUT}"))
 _LINEAR = "select v.id, {{a}} * coalesce(r.s, 0) + {{b}} as s from v left join (select e.dst as id, sum({x}.s) as s from e join {x} on {x}.id = e.src group by 1) r on r.id = v.id"
 _query("katz", G.trade_top3, lambda g: _score(centrality.katz(g, max_iterations=8, tolerance=0)), _rounds_sql(G.TRADE_TOP3, "1.0::double", _LINEAR.replace("{{a}}", "0.1::double").replace("{{b}}", "1.0"), 8))
 _query("alpha_centrality", G.trade_top3, lambda g: _score(centrality.alpha_centrality(g, max_iterations=6, tolerance=0)), _rounds_sql(G.TRADE_TOP3, "1.0::double", _LINEAR.replace("{{a}}", "0.5::double").replace("{{b}}", "0"), 6))
@@ -167,7 +171,30 @@ _FROM_TO = _distances_sql(G.TRADE_TOP3) + " select round(d, 6) as weight from di
 
 
 _query("dijkstra", G.trade_top3, lambda g: _rounded(paths.dijkstra(g, 0, 7).select("weight"), "weight"), _FROM_TO.format(a=0, b=7))
-_query("bellman_ford", G.trade_top3, lambda g: _rounded(paths.bellman_ford(g, 3, 12).select("weight"), "weight"), _FROM_TO.format(a=3, b=12))
+_query("dijkstra_full", G.trade_full, lambda g: _rounded(paths.dijkstra(g, 3, 12).select("weight"), "weight"), _distances_sql(G.TRADE_FULL) + " select round(d, 6) as weight from dist where s = 3 and t = 12")
+
+
+def _bellman_ford(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the first to the last order of the first customer, over steps of which some have negative weights; the path's own sum as well."""
+    g = G.order_dag(spark, sf_dir, skips=True)
+    weighted = Graph(g.nodes, g.edges.withColumn("weight", F.expr("cast((src * 7 + dst * 13) % 19 - 6 as double)")), True)
+    orders = G.table(spark, sf_dir, "orders")
+    own = orders.filter(F.col("o_custkey") == orders.agg(F.min("o_custkey")).first()[0])
+    when = F.struct("o_orderdate", "o_orderkey")
+    start, goal = own.agg(F.min_by("o_orderkey", when), F.max_by("o_orderkey", when)).first()
+    found = paths.bellman_ford(weighted, start, goal)
+    steps = found.select("weight", F.explode(F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("src"), F.slice("path", 2, F.size("path") - 1).alias("dst"))).alias("s"))
+    along = steps.select(F.col("weight").alias("found"), "s.src", "s.dst").join(weighted.edges, ["src", "dst"])
+    return along.groupBy(F.col("found").alias("weight")).agg(F.sum("weight").alias("path_weight"))
+
+
+_QUERIES["bellman_ford"] = _bellman_ford
+_SQL["bellman_ford"] = (
+    f"with {G.ORDER_DAG_SKIPS.replace('pairs as', 'steps as', 1).replace('from pairs', 'from steps')}, own as (select o_orderkey as id, o_orderdate as day from orders where o_custkey = (select min(o_custkey) from orders)), "
+    "d0 as materialized (select src as s, dst as t, ((src * 7 + dst * 13) % 19 - 6)::double as d from e where src in (select id from own) union all select id, id, 0.0::double from own), "
+    + ", ".join(f"d{k} as materialized (select a.s, b.t, min(a.d + b.d) as d from d{k - 1} a join d{k - 1} b on a.t = b.s group by 1, 2)" for k in range(1, 8))
+    + " select d as weight, d as path_weight from d7 where s = (select id from own order by day, id limit 1) and t = (select id from own order by day desc, id desc limit 1)"
+)
 
 def _astar(spark: SparkSession) -> DataFrame:
     g = generators.grid_2d(spark, 6, 7)
@@ -209,6 +236,8 @@ _query(
 # --- connectivity -------------------------------------------------------------------
 
 _query("weakly_connected", G.copurchase, connectivity.weakly_connected, f"with recursive {G.COPURCHASE}, {_REACH} select src as id, min(dst) as component from reach group by 1")
+_MIN_LABELS = ", ".join(["l0 as (select id, id as c from v)"] + [f"l{k} as materialized (select id, min(c) as c from (select id, c from l{k - 1} union all select e.src, l.c from e join l{k - 1} l on l.id = e.dst) group by 1)" for k in range(1, 9)])
+_query("weakly_connected_full", G.copurchase_full, connectivity.weakly_connected, f"with {G.COPURCHASE_FULL}, {_MIN_LABELS} select id, c as component from l8")
 _query("strongly_connected", G.trade_top3, connectivity.strongly_connected, f"with recursive {G.TRADE_TOP3}, {_REACH} select a.src as id, min(a.dst) as component from reach a join reach b on a.src = b.dst and a.dst = b.src group by 1")
 
 
@@ -256,6 +285,19 @@ _FLOW_SQL = f"with {G.EVENT_FLOW} " + _CUT.format(name="max_flow", where="m.m &
 _ENDS = lambda g: [r[0] for r in g.nodes.filter("id in (0, 4)").orderBy("id").select("label").collect()]
 _query("max_flow_edmonds_karp", G.event_flow, lambda g: flow.max_flow(g, *_ENDS(g)).value, _FLOW_SQL)
 _query("max_flow_push_relabel", G.event_flow, lambda g: flow.max_flow(g, *_ENDS(g), algorithm="push_relabel").value, _FLOW_SQL)
+def _cut_weight(g: Graph) -> DataFrame:
+    """The weight of the edges that lead from the source's side to the sink's."""
+    side = flow.max_flow(g, *_ENDS(g)).sides
+    ends = g.edges.join(side.select(F.col("id").alias("src"), F.col("side").alias("a")), "src").join(side.select(F.col("id").alias("dst"), F.col("side").alias("b")), "dst")
+    return ends.filter("a = 'source' and b = 'sink'").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("max_flow"))
+
+
+_PAIR = "least(src, dst) as a", "greatest(src, dst) as b"
+_query("max_flow_cut", G.event_flow, _cut_weight, _FLOW_SQL)
+_query(
+    "max_flow_residual", G.event_flow, lambda g: flow.max_flow(g, *_ENDS(g)).residual.selectExpr(*_PAIR, "capacity").groupBy("a", "b").agg(F.sum("capacity").alias("capacity")),
+    f"with {G.EVENT_FLOW} select {', '.join(_PAIR)}, sum(w) as capacity from e group by 1, 2",
+)
 _query("max_flow_sides", G.trade_top3, lambda g: flow.max_flow(g, 0, 7).sides)
 _query("global_min_cut", G.event_links, flow.global_min_cut, f"with {G.EVENT_LINKS} " + _CUT.format(name="min_cut", where="m.m between 1 and 30"))
 _query("global_min_cut_trade", G.trade_full, flow.global_min_cut)
@@ -264,9 +306,18 @@ _CLIQUES = (
     "mx as (select m, n from c where not exists (select 1 from c b where b.m <> c.m and b.m & c.m = c.m)), q as (select n, list_transform(list_filter(range(5), lambda i: (m >> i) & 1 = 1), lambda i: i::bigint) as clique from mx)"
 )
 _query("maximal_cliques", G.event_links, lambda g: cliques.maximal_cliques(g).select(F.concat_ws(",", F.col("clique").cast("array<string>")).alias("clique")), f"with {G.EVENT_LINKS}, {_CLIQUES} select array_to_string(clique, ',') as clique from q")
+_ALL_CLIQUES = ", ".join(
+    ["c1 as (select [id] as q, id as last from v)"]
+    + [
+        f"c{n + 1} as materialized (select list_append(any_value(q), dst) as q, dst as last from (select q, last, unnest(q) as m from c{n}) p join e on e.src = p.m and e.dst > p.last group by p.q, dst having count(*) = {n})"
+        for n in range(1, 9)
+    ]
+    + [f"x{n} as (select any_value(q) as q from (select q, unnest(q) as m from c{n}) p join e on e.src = p.m group by p.q, dst having count(*) = {n})" for n in range(1, 10)]
+)
 _query(
-    "maximal_clique_sizes", G.copurchase, lambda g: cliques.maximal_cliques(g).groupBy(F.size("clique").alias("size")).agg(F.count(F.lit(1)).alias("cliques")).filter("size = 2"),
-    f"with {G.COPURCHASE} select 2::int as size, count(*) as cliques from e where src < dst and not exists (select 1 from e a join e b on a.dst = b.dst where a.src = e.src and b.src = e.dst)",
+    "maximal_clique_sizes", G.copurchase, lambda g: cliques.maximal_cliques(g).groupBy(F.size("clique").alias("size")).agg(F.count(F.lit(1)).alias("cliques")),
+    f"with {G.COPURCHASE}, {_ALL_CLIQUES} select size::int as size, count(*) as cliques from ("
+    + " union all ".join(f"select {n} as size from c{n} where q not in (select q from x{n})" for n in range(1, 10)) + ") group by 1",
 )
 _query("max_clique", G.event_links, lambda g: cliques.max_clique(g).select(F.size("clique").alias("size")), f"with {G.EVENT_LINKS}, {_CLIQUES} select max(n)::int as size from q")
 _query("coloring_dsatur", G.copurchase, lambda g: cliques.dsatur(g))
@@ -280,6 +331,31 @@ _query("louvain", G.copurchase, lambda g: community.louvain(g))
 _query("leiden", G.copurchase, lambda g: community.leiden(g))
 _query("leiden_hierarchical", G.copurchase, lambda g: community.leiden_hierarchical(g).levels)
 
+
+def _conflicts(g: Graph) -> DataFrame:
+    """Nodes with a colour, and edges whose ends share one."""
+    colors = cliques.dsatur(g)
+    ends = g.simple().join(colors.toDF("src", "a"), "src").join(colors.toDF("dst", "b"), "dst")
+    return colors.agg(F.countDistinct("id").alias("nodes")).crossJoin(F.broadcast(ends.agg(F.count(F.when(F.col("a") == F.col("b"), 1)).alias("conflicts"))))  # one row each
+
+
+def _community_laws(find: Callable[[Graph], DataFrame]) -> Callable[[Graph], DataFrame]:
+    """Nodes with a community, communities over several components, and whether modularity reaches the components' own."""
+
+    def run(g: Graph) -> DataFrame:
+        found, parts = checkpoint(find(g)), checkpoint(connectivity.weakly_connected(g))
+        wide = found.join(parts, "id").groupBy("community").agg(F.countDistinct("component").alias("n"))
+        score, least = metrics.modularity(g, found), metrics.modularity(g, parts.withColumnRenamed("component", "community"))
+        rows = found.agg(F.countDistinct("id").alias("nodes")).crossJoin(F.broadcast(wide.agg(F.count(F.when(F.col("n") > 1, 1)).alias("wide"))))
+        return rows.crossJoin(F.broadcast(score.toDF("found"))).crossJoin(F.broadcast(least.toDF("least"))).selectExpr("nodes", "wide", "found >= least - 1e-9 as reaches")  # one row each
+
+    return run
+
+
+_query("coloring_conflicts", G.copurchase, _conflicts, f"with {G.COPURCHASE} select count(*) as nodes, 0::bigint as conflicts from v")
+for _name, _find in (("louvain", community.louvain), ("leiden", community.leiden), ("leiden_finest", lambda g: community.leiden_hierarchical(g).finest())):
+    _query(f"{_name}_laws", G.trade_full if _name == "leiden_finest" else G.copurchase, _community_laws(_find), f"with {G.TRADE_FULL if _name == 'leiden_finest' else G.COPURCHASE} select count(*) as nodes, 0::bigint as wide, true as reaches from v")
+
 # --- files and generators -----------------------------------------------------------------
 
 

@@ -278,3 +278,34 @@ def test_coloring_kernel_against_brute_force():
 def test_closure_by_recursive_sql(graph):
     rows = transform.closure_of_bounded_depth(graph("A>B B>C"), 5).collect()
     assert {tuple(r) for r in rows} == {(0, 1, 1), (1, 2, 1), (0, 2, 2)}
+
+
+def test_edges_and_neighbours(graph):
+    g = graph("A>B:2 A>C B>C C>C")
+    assert g.has_edge("A", "B") and not g.has_edge("B", "A") and not g.has_edge("A", "Z")
+    assert {(r.label, r.weight) for r in g.successors("A").collect()} == {("B", 2.0), ("C", 1.0)}
+    assert {r.label for r in g.predecessors("C").collect()} == {"A", "B", "C"} and g.predecessors("Z").count() == 0
+    assert by_label(g, g.in_degrees(), "degree") == {"A": 0, "B": 1, "C": 3}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_maximal_cliques_against_all_subsets(spark, seed):
+    rng = random.Random(seed)
+    pairs = [(a, b) for a, b in itertools.combinations(range(9), 2) if rng.random() < 0.2 + 0.2 * seed]
+    g = Graph.from_list(spark, [(a, b, 1.0) for a, b in pairs], directed=False, labels=list(range(9)))
+    near = {frozenset(p) for p in pairs}
+    full = [set(c) for n in range(1, 10) for c in itertools.combinations(range(9), n) if all(frozenset(p) in near for p in itertools.combinations(c, 2))]
+    expected = {tuple(sorted(c)) for c in full if not any(c < d for d in full)}
+    label = {r.id: r.label for r in g.nodes.collect()}
+    assert {tuple(sorted(label[i] for i in r.clique)) for r in cliques.maximal_cliques(g).collect()} == expected
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from loomgraph import storage
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077", applicationId="a"), conf=conf)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(cluster)
