@@ -9,12 +9,13 @@ recur anywhere, and passages that may share a window meet as text in one shard
 (see ``repeats``).  In each shard
 
 1. recurring passages are confirmed: windows of equal hashes are nominated;
-2. they are compiled into sharded Aho-Corasick automata, one character a word
-   (words are numbered by their bytes), ``PHRASES`` of them in each;
+2. windows that occur only together are one passage; passages are compiled into
+   sharded Aho-Corasick automata, one character a word (words are numbered by
+   their bytes), ``PHRASES`` of them in each;
 3. the passages of all documents stream through every automaton of the shard.
-   Its hits are the only source of occurrences, and they are exact.  Nominated
-   windows without a hit share their hash with others; they are compiled and
-   streamed in a further round.
+   Its hits are the only source of occurrences, and they are exact.  Where a
+   nominated window has no hit, windows share a hash only; then each is
+   compiled by itself, until all are located.
 
 A document needs to meet only the automata of shards that hold a phrase of its
 own, so text that cannot recur is not sent, and work grows with the input.
@@ -101,23 +102,63 @@ def locate(text: np.ndarray, sizes: np.ndarray, counts: np.ndarray, keys: np.nda
     todo = np.flatnonzero(often[inverse])
     window_at = np.full(len(line) // width + 1, -1, np.int64)
     window_at[place] = np.arange(len(start))
-    known = 0
-    while len(todo):
-        _, picked = np.unique(inverse[todo], return_index=True)
-        picked = todo[picked]  # one window of each hash
+
+    def stream(picked: np.ndarray, runs: np.ndarray, base: np.ndarray) -> None:
+        """Compile the runs of windows that begin at ``picked`` and number what the automata find from ``base`` on."""
         for at in range(0, len(picked), PHRASES):
             automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-            for k, p in enumerate((place[picked[at : at + PHRASES]] * width).tolist()):
-                automaton.add_word(line[p : p + length * width], known + at + k)
+            first, size = place[picked[at : at + PHRASES]] * width, (runs[at : at + PHRASES] + length - 1) * width
+            for k, (x, n) in enumerate(zip(first.tolist(), size.tolist())):
+                automaton.add_word(line[x : x + n], at + k)
             automaton.make_automaton()
             hits = np.fromiter(automaton.iter(line), np.dtype([("end", np.int64), ("phrase", np.int64)]))
-            found = window_at[(hits["end"] + 1) // width - length]
-            group[found] = hits["phrase"]
-        known += len(picked)
-        todo = todo[group[todo] < 0]
+            phrase = hits["phrase"]
+            found = window_at[(hits["end"] + 1) // width - length + 1 - runs[phrase]]
+            group[ragged_take(found, runs[phrase])] = ragged_take(base[phrase], runs[phrase])
+
+    picked, runs = _chains(inverse, todo, counts)
+    stream(picked, runs, np.cumsum(runs) - runs)
+    if len(todo) and (group[todo] < 0).any():  # some windows share a hash only: each by itself
+        group[:] = -1
+        known = 0
+        while len(todo):
+            picked = todo[np.unique(inverse[todo], return_index=True)[1]]  # one window of each hash
+            stream(picked, np.ones(len(picked), np.int64), known + np.arange(len(picked)))
+            known += len(picked)
+            todo = todo[group[todo] < 0]
     return group
 
 
+def _chains(kind: np.ndarray, todo: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of windows that occur only together, as first windows and numbers of windows.
+
+    ``kind`` numbers windows by hash, ``todo`` are the nominated ones.  Where
+    each window of one kind is followed by one of another that occurs as often,
+    the two are parts of one longer passage.
+    """
+    n = int(kind.max(initial=-1)) + 1
+    nominated = np.zeros(len(kind) + 1, bool)
+    nominated[todo] = True
+    last = np.zeros(len(kind), bool)
+    last[np.cumsum(counts) - 1] = True  # of its passage
+    after = np.append(kind[1:], -1)
+    after = np.where(last | ~nominated[1:], -1, after)[todo]
+    own = kind[todo]
+    low, high = np.full(n, n, np.int64), np.full(n, -1, np.int64)
+    np.minimum.at(low, own, after)
+    np.maximum.at(high, own, after)
+    often = np.bincount(own, minlength=n)
+    linked = (low == high) & (low >= 0)
+    linked[linked] = often[linked] == often[low[linked]]
+    first = np.full(n, len(kind), np.int64)
+    np.minimum.at(first, own, todo)
+    lead = todo[first[own] == todo]  # the first window of each kind; of linked kinds they follow each other
+    ends = ~linked[kind[lead]]
+    begins = np.ones(len(lead), bool)
+    begins[1:] = ends[:-1]
+    return lead[begins], np.flatnonzero(ends) - np.flatnonzero(begins) + 1
+
+
 def repeated_words(block: Block, given: list[dict[int, bytes]], shards: int, window: int) -> tuple[Words, np.ndarray]:
     """The words of a block, and which of them are removed."""
     words = Words(block)
