@@ -203,44 +203,54 @@ def _hits(docs: DataFrame, masks: list[tuple[str, bool]], words: np.ndarray, see
     return docs.mapInArrow(find, "doc_id long, text_key long, hash long, place long, before int, doc_words long, around array<string>")
 
 
-def matching_words(own: list[str], place: int, around: list[str], before: int, window: int, similarity: float) -> tuple[int, int, list[int]] | None:
-    """Where an item laid over a document counts: first and last item word of the stretches, and the equal ones in them.
-
-    Word ``place`` of the item lies on word ``before`` of ``around``.
-    """
-    shift = before - place
-    lo, hi = max(0, -shift), min(len(own), len(around) - shift)
-    window = min(window, len(own))
-    if hi - lo < window:
-        return None
-    equal = np.fromiter((x == y for x, y in zip(own[lo:hi], around[lo + shift : hi + shift])), bool, hi - lo)
-    sums = np.cumsum(np.concatenate([[0], equal]))
-    counts = np.flatnonzero(sums[window:] - sums[:-window] >= similarity * window)
-    if not len(counts):
-        return None
-    edge = np.zeros(len(equal) + 1, np.int64)
-    np.add.at(edge, counts, 1)
-    np.add.at(edge, counts + window, -1)
-    return lo + int(counts[0]), lo + int(counts[-1]) + window - 1, (lo + np.flatnonzero(equal & (np.cumsum(edge[:-1]) > 0))).tolist()
+def _coded(*columns: pa.ListArray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(codes, first place, length) of the lists of words in each column; equal words have equal codes."""
+    flat = [c.flatten() for c in columns]
+    codes = pa.concat_arrays(flat).dictionary_encode().indices.to_numpy()
+    ends = np.cumsum([len(f) for f in flat])
+    out = []
+    for column, values, end in zip(columns, flat, ends):
+        lengths = column.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        out.append((codes[end - len(values) : end], np.cumsum(lengths) - lengths, lengths))
+    return out
 
 
 def _verified(pairs: DataFrame, window: int, similarity: float, least: int) -> DataFrame:
-    """Hits whose passage counts: where it begins in the document, its words, and which of the item's are equal."""
+    """Hits whose passage counts: where it begins in the document, its words, and which of the item's are equal.
+
+    Word ``item_place`` of the item lies on word ``before`` of ``around``. All
+    hits of a batch are laid over at once; ``row`` is the hit of an overlap's word.
+    """
     names = ["doc_id", "text_key", "item_key", "item_id", "shift", "low", "high", "equal"]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("words", "item_place", "around", "before", "place", "doc_words")]
-            keep, rows = [], []
-            for i, (own, at, around, before, place, doc_words) in enumerate(zip(*cols)):
-                found = matching_words(own, at, around, before, window, similarity) if len(own) >= least or len(own) == doc_words else None
-                if found:
-                    keep.append(i)
-                    rows.append((place - at, *found))
-            if keep:
-                kept = batch.take(pa.array(keep))
-                shift, low, high, equal = zip(*rows)
-                yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in names[:4]), pa.array(shift, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(equal, pa.list_(pa.int32()))], names)
+            (own, own_first, own_size), (text, text_first, text_size) = _coded(batch.column("words"), batch.column("around"))
+            item_place, before, place, doc_words = (batch.column(c).to_numpy().astype(np.int64) for c in ("item_place", "before", "place", "doc_words"))
+            shift = before - item_place
+            low, high = np.maximum(0, -shift), np.minimum(own_size, text_size - shift)
+            stretch = np.minimum(window, own_size)
+            use = np.flatnonzero((high - low >= stretch) & ((own_size >= least) | (own_size == doc_words)))
+            size, low, stretch = (high - low)[use], low[use], stretch[use]
+            first = np.cumsum(size) - size
+            row = np.repeat(np.arange(len(use)), size)
+            at = np.arange(len(row)) - first[row]
+            equal = own[ragged_take(own_first[use] + low, size)] == text[ragged_take(text_first[use] + low + shift[use], size)]
+            sums = np.concatenate([[0], np.cumsum(equal)])
+            starts = np.flatnonzero(at <= (size - stretch)[row])
+            ends = starts + stretch[row[starts]]
+            good = sums[ends] - sums[starts] >= similarity * stretch[row[starts]]
+            starts, ends = starts[good], ends[good]
+            if not len(starts):
+                continue
+            counts = np.cumsum(np.bincount(starts, minlength=len(row) + 1) - np.bincount(ends, minlength=len(row) + 1))[:-1] > 0
+            hit, begin, n = np.unique(row[starts], return_index=True, return_counts=True)
+            words = np.flatnonzero(equal & counts)
+            split = np.searchsorted(row[words], np.append(hit, len(use)))
+            lists = pa.ListArray.from_arrays(pa.array(split.astype(np.int32)), pa.array((low[row[words]] + at[words]).astype(np.int32)))
+            kept = batch.take(pa.array(use[hit]))
+            found = [(place - item_place)[use[hit]], (low[hit] + starts[begin] - first[hit]).astype(np.int32), (low[hit] + ends[begin + n - 1] - 1 - first[hit]).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in names[:4]), *map(pa.array, found), lists], names)
 
     return pairs.mapInArrow(verify, "doc_id long, text_key long, item_key long, item_id long, shift long, low int, high int, equal array<int>")
 
