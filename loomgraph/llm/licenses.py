@@ -1,10 +1,12 @@
 """Licence scans by canonical digests of entire texts.
 
-A text is brought into a canonical form: lower case, copyright lines dropped,
-punctuation and white space folded into single blanks, equivalent spellings
-made equal.  Its SHA-256 is joined to the digests of known licence texts.
-Everything is DataFrame functions; the known texts are a fixed list, so their
-side of the join has a fixed size.
+A text is brought into a canonical form: lower case, copyright lines dropped
+(where the licence goes on in the notice's line, from one of ``OPENINGS``, the
+notice alone), punctuation, symbols and white space of Unicode folded into
+single blanks, invisible format characters dropped, equivalent spellings made
+equal.  Its SHA-256 is joined to the digests of known licence texts, with and
+without their titles.  Everything is DataFrame functions; the known texts are a
+fixed list, so their side of the join has a fixed size.
 
 Defined cases: null and empty texts have the digest of the empty text and no
 licence; repeated rows each get their own row; other columns play no part; of
@@ -33,6 +35,25 @@ KNOWN = {
         "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
         'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
     ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n"
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+    ),
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:\n"
+        "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.\n"
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain.\n"
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n"
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n"
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n'
+        "For more information, please refer to <https://unlicense.org>"
+    ),
     "Zlib": (
         "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n"
         "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n"
@@ -50,10 +71,27 @@ KNOWN = {
     "MIT notice": "Released under the MIT License.",
 }
 
-#: Patterns and what replaces them, in this order (fixed values; the same in Java's and RE2's syntax).
+#: Titles under which the texts are published (fixed values).
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License"),
+    "BSL-1.0": ("Boost Software License - Version 1.0 - August 17th, 2003",),
+    "Unlicense": ("The Unlicense",),
+    "Zlib": ("zlib License", "The zlib License"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"),
+}
+
+#: Words with which licences begin behind a notice in the same line (fixed values).
+OPENINGS = ("permission is hereby granted", "permission to use", "redistribution and use", "this software is provided", "licensed under", "released under", "this work is licensed")
+
+#: Patterns and what replaces them, in this order (fixed values; the same in Java's and RE2's syntax but for ``$1``).
 RULES = [
+    (rf"((?:^|\n)[^a-z0-9\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*?)\b({'|'.join(OPENINGS)})\b", "$1\n$2"),
     (r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*", "\n"),
-    (r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " "),
+    (r"\p{Cf}+", ""),
+    (r"[\x00-\x2f\x3a-\x60\x7b-\x7f\x{80}-\x{9f}\p{P}\p{S}\p{Z}]+", " "),
     (r"\blicence", "license"),
     (r"\bsub licens", "sublicens"),
     (r"\bnon infringement", "noninfringement"),
@@ -65,6 +103,11 @@ RULES = [
 ]
 
 
+def _texts() -> list[tuple[str, str]]:
+    """(license, text) of all known texts, without and with their titles."""
+    return sorted((name, head + text) for name, text in KNOWN.items() for head in ("", *(t + "\n" for t in TITLES.get(name, ()))))
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a text; empty for null."""
     out = F.lower(F.coalesce(text, F.lit("")))
@@ -80,7 +123,7 @@ def digest(text: Column) -> Column:
 
 def known_licenses(spark: SparkSession) -> DataFrame:
     """(digest, license) of the known texts."""
-    known = spark.createDataFrame(sorted(KNOWN.items()), "license string, text string")
+    known = spark.createDataFrame(_texts(), "license string, text string")
     return known.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
 
 
@@ -106,13 +149,12 @@ def sql_digest(column: str) -> str:
     """The digest of a column in DuckDB's SQL."""
     out = f"lower(coalesce({column}, ''))"
     for pattern, to in RULES:
-        to = "chr(10)" if to == "\n" else _sql_text(to)
-        out = f"regexp_replace({out}, {_sql_text(pattern)}, {to}, 'g')"
+        out = f"regexp_replace({out}, {_sql_text(pattern)}, {_sql_text(to.replace('$', chr(92)))}, 'g')"
     return f"sha256(trim({out}, ' '))"
 
 
 def scan_sql() -> str:
-    rows = ", ".join(f"({_sql_text(name)}, {_sql_text(text)})" for name, text in sorted(KNOWN.items()))
+    rows = ", ".join(f"({_sql_text(name)}, {_sql_text(text)})" for name, text in _texts())
     return f"""
 with known as (
   select {sql_digest('text')} as digest, min(license) as license

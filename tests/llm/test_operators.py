@@ -198,6 +198,33 @@ def test_license_scan(spark, empty):
     assert licenses.scan(spark.createDataFrame([(1, "My OWN, terms.")], "doc_id long, text string"), own).first().license == "House"
 
 
+def test_license_scan_folds_unicode_titles_and_notices(spark):
+    import duckdb
+
+    mit, isc = licenses.KNOWN["MIT"], licenses.KNOWN["ISC"]
+    curly = mit.replace('"AS IS"', "“AS\u00a0IS”").replace('"Software"', "«Software»").replace("and/or", "and／or")
+    cases = [
+        ("The MIT License (MIT)\n\nCopyright © 2001–2003 A. Person\n\n" + curly, "MIT"),
+        ("\ufeff" + isc.replace("purpose", "pur\u00adpose", 1), "ISC"),
+        ("Copyright (c) 2020 X. All rights reserved. " + mit.replace("\n", " "), "MIT"),
+        ("(c) X\nISC License\n" + isc, "ISC"),
+        ("BSD 3-Clause License\n\nCopyright (c) 1998, Y\n\n" + licenses.KNOWN["BSD-3-Clause"].replace("1. ", "• 1. "), "BSD-3-Clause"),
+        ("The Unlicense\n" + licenses.KNOWN["Unlicense"], "Unlicense"),
+        ("Copyright (c) 2020 X", None),
+        ("MIT License", None),
+        ("GPL\n" + mit, None),
+        ("“—”\u2003", None),
+    ]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, (t, _) in enumerate(cases)], "doc_id long, text string, license string, digest string")
+    found = {r.doc_id: (r.digest, r.license) for r in licenses.scan(docs).collect()}
+    assert [found[i][1] for i in range(len(cases))] == [name for _, name in cases]
+    assert len({licenses._texts()[i][1] for i in range(len(licenses._texts()))}) == len(licenses._texts())
+    documents = docs.toPandas()  # noqa: F841
+    con = duckdb.connect()
+    con.register("documents", documents)
+    assert {r[0]: (r[1], r[2]) for r in con.execute(licenses.scan_sql()).fetchall()} == found
+
+
 def test_license_scan_uses_no_python(spark, docs):
     plan = licenses.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
