@@ -20,20 +20,6 @@ UNDIRECTED = ", e as (select s as src, t as dst, w from pairs union all select t
 DIRECTED = ", e as (select s as src, t as dst, w from pairs), v as (select src as id from e union select dst from e)"
 
 
-def copurchase(spark: SparkSession, sf_dir: str) -> Graph:
-    """Parts bought in one order, both in quantities of 46 or more; weights spread by the parts' numbers."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_quantity >= 46").select("l_orderkey", F.col("l_partkey").alias("p"))
-    pairs = lines.select("l_orderkey", F.col("p").alias("src")).join(lines.select("l_orderkey", F.col("p").alias("dst")), "l_orderkey").filter("src < dst")
-    weight = (1 + (F.col("src") * 31 + F.col("dst") * 17) % 97).cast("double")
-    return Graph.from_ids(pairs.select("src", "dst").distinct().select("src", "dst", weight.alias("weight")), directed=False)
-
-
-COPURCHASE = (
-    "pairs as (select s, t, (1 + (s * 31 + t * 17) % 97)::double as w from (select distinct a.l_partkey as s, b.l_partkey as t "
-    "from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_partkey < b.l_partkey where a.l_quantity >= 46 and b.l_quantity >= 46))" + UNDIRECTED
-)
-
-
 def copurchase_full(spark: SparkSession, sf_dir: str) -> Graph:
     """Parts bought in one order, whatever the quantity."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p"))
@@ -60,13 +46,12 @@ _TRADE = (
 )
 
 
-def trade_top3(spark: SparkSession, sf_dir: str) -> Graph:
-    """Nations to the three nations that sell them most; weights count lines."""
-    order = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
-    return Graph.from_ids(_trade(spark, sf_dir).withColumn("nth", F.row_number().over(order)).filter("nth <= 3").drop("nth"), directed=True)
+def trade(spark: SparkSession, sf_dir: str) -> Graph:
+    """Nations to the nations that sell to them; weights count lines."""
+    return Graph.from_ids(_trade(spark, sf_dir), directed=True)
 
 
-TRADE_TOP3 = _TRADE + ", pairs as (select s, t, w from (select *, row_number() over (partition by s order by w desc, t) as nth from trade) where nth <= 3)" + DIRECTED
+TRADE = _TRADE + ", pairs as (select s, t, w from trade)" + DIRECTED
 
 
 def trade_full(spark: SparkSession, sf_dir: str) -> Graph:
@@ -109,6 +94,44 @@ def _order_dag(*steps: int) -> str:
 ORDER_DAG, ORDER_DAG_SKIPS = _order_dag(1), _order_dag(1, 2)
 
 
+_JOURNEY_WEIGHT = "(1 + (src * 31 + dst * 17) % 97)"
+
+
+def _journey_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    when = ["o_orderdate", "o_orderkey"]
+    following = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy(*when))
+    alike = F.lag("o_orderkey").over(Window.partitionBy("o_custkey", "o_orderpriority").orderBy(*when))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), F.array(following, alike).alias("to"))
+    return rows.select("src", F.explode("to").alias("dst")).filter("dst is not null")
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+
+
+def journeys(spark: SparkSession, sf_dir: str) -> Graph:
+    """From every order to its customer's next one, and back to the one before of the same priority; weights spread by the orders' numbers."""
+    steps = _journey_steps(spark, sf_dir).withColumn("weight", F.expr(f"cast({_JOURNEY_WEIGHT} as double)"))
+    return Graph.from_ids(steps, directed=True, nodes=_orders(spark, sf_dir))
+
+
+def journeys_undirected(spark: SparkSession, sf_dir: str) -> Graph:
+    """The same steps without direction, each pair of orders once."""
+    pairs = _journey_steps(spark, sf_dir).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    return Graph.from_ids(pairs.withColumn("weight", F.expr(f"cast({_JOURNEY_WEIGHT} as double)")), directed=False, nodes=_orders(spark, sf_dir))
+
+
+_JOURNEY_STEPS = (
+    "steps as (select o_orderkey as s, lead(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as t from orders "
+    "union all select o_orderkey, lag(o_orderkey) over (partition by o_custkey, o_orderpriority order by o_orderdate, o_orderkey) from orders), "
+)
+JOURNEYS = _JOURNEY_STEPS + "e as (select s as src, t as dst, (1 + (s * 31 + t * 17) % 97)::double as w from steps where t is not null), v as (select o_orderkey as id from orders)"
+JOURNEYS_UNDIRECTED = _JOURNEY_STEPS + (
+    "pairs as (select s, t, (1 + (s * 31 + t * 17) % 97)::double as w from (select distinct least(s, t) as s, greatest(s, t) as t from steps where t is not null)), "
+    "e as (select s as src, t as dst, w from pairs union all select t, s, w from pairs), v as (select o_orderkey as id from orders)"
+)
+
+
 def event_flow(spark: SparkSession, sf_dir: str) -> Graph:
     """From each kind of event to the next kind of the same user; ids are ranks of the kinds' names."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -125,14 +148,13 @@ EVENT_FLOW = (
 
 
 def event_links(spark: SparkSession, sf_dir: str) -> Graph:
-    """The event kinds whose transitions exceed the mean, without direction: a small graph with structure."""
+    """The event kinds that follow each other, without direction; weights of both ways add up."""
     flow = event_flow(spark, sf_dir)
-    pairs = flow.edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    mean = pairs.agg(F.avg("weight").alias("mean"))
-    return Graph.from_ids(pairs.crossJoin(F.broadcast(mean)).filter("weight >= mean").select("src", "dst", "weight"), directed=False, nodes=flow.nodes)  # one row
+    pairs = flow.edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight")
+    return Graph.from_ids(pairs.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), directed=False, nodes=flow.nodes)
 
 
 EVENT_LINKS = EVENT_FLOW.replace("e as (", "d as (").replace("v as (select id from names)", "") + (
-    "sums as (select least(src, dst) as s, greatest(src, dst) as t, sum(w) as w from d group by 1, 2), pairs as (select s, t, w from sums where w >= (select avg(w) from sums)), "
+    "pairs as (select least(src, dst) as s, greatest(src, dst) as t, sum(w) as w from d group by 1, 2), "
     "e as (select s as src, t as dst, w from pairs union all select t, s, w from pairs), v as (select id from names)"
 )

@@ -42,28 +42,25 @@ _query("node_count", G.copurchase_full, lambda g: g.node_count(), f"with {G.COPU
 _query("edge_count", G.copurchase_full, lambda g: g.edge_count(), f"with {G.COPURCHASE_FULL} select count(*) as edge_count from e")
 _query("node_degrees", G.copurchase_full, lambda g: g.out_degrees(), f"with {G.COPURCHASE_FULL} select id, count(src)::bigint as degree from v left join e on id = src group by id")
 _query("labels_and_ids", G.event_flow, lambda g: g.nodes.select("id", "label"), f"with {G.EVENT_FLOW} select id, label from names")
-_query("in_degrees", G.trade_top3, lambda g: g.in_degrees(), f"with {G.TRADE_TOP3} select id, count(dst)::bigint as degree from v left join e on id = dst group by id")
+_query("in_degrees", G.journeys, lambda g: g.in_degrees(), f"with {G.JOURNEYS} select id, count(dst)::bigint as degree from v left join e on id = dst group by id")
 _query("predecessors", G.event_flow, lambda g: g.predecessors(g.label_of(0)), f"with {G.EVENT_FLOW} select label, w as weight from e join names on id = src where dst = 0")
 _query("all_edges", G.event_flow, lambda g: g.all_edges(), f"with {G.EVENT_FLOW} select a as source, b as target, w as weight from flow")
 _query(
-    "degree_centrality", G.trade_top3, lambda g: _score(metrics.degree_centrality(g)),
-    f"with {G.TRADE_TOP3}, d as (select src as id from e union all select dst from e) select id, round(count(*) / ((select count(*) from v) - 1.0), 6)::double as score from d group by id",
+    "degree_centrality", G.journeys, lambda g: _score(metrics.degree_centrality(g)),
+    f"with {G.JOURNEYS}, d as (select src as a from e union all select dst from e) select id, round(count(a) / ((select count(*) from v) - 1.0), 6)::double as score from v left join d on a = id group by id",
 )
 
 # --- metrics ------------------------------------------------------------------
 
 _query("density", G.copurchase_full, lambda g: _rounded(metrics.density(g), "density"), f"with {G.COPURCHASE_FULL} select round((select count(*) from e)::double / (n * (n - 1)), 6) as density from (select count(*) as n from v)")
 _TRIANGLES = "select count(*) as triangle_count from e a join e b on a.dst = b.src and a.src < a.dst and b.src < b.dst join e c on c.src = a.src and c.dst = b.dst"
-_query("triangle_count", G.copurchase, metrics.triangle_count, f"with {G.COPURCHASE} {_TRIANGLES}")
-_query("triangle_count_full", G.copurchase_full, metrics.triangle_count, f"with {G.COPURCHASE_FULL} {_TRIANGLES}")
+_query("triangle_count", G.copurchase_full, metrics.triangle_count, f"with {G.COPURCHASE_FULL} {_TRIANGLES}")
 _CLUSTERING = (
     "k as (select src as id, count(*) as k from e group by 1), t as (select a.src as id, count(*) as t from e a join e b on a.src = b.src and a.dst < b.dst join e c on c.src = a.dst and c.dst = b.dst group by 1), "
     "cc as (select k.id, case when k >= 2 then 2.0 * coalesce(t, 0) / (k * (k - 1)) else 0 end::double as score from k left join t using (id))"
 )
-_query("local_clustering", G.copurchase, lambda g: _score(metrics.local_clustering(g)), f"with {G.COPURCHASE}, {_CLUSTERING} select id, round(score, 6) as score from cc")
-_query("local_clustering_full", G.copurchase_full, lambda g: _score(metrics.local_clustering(g)), f"with {G.COPURCHASE_FULL}, {_CLUSTERING} select id, round(score, 6) as score from cc")
-_query("average_clustering", G.copurchase, lambda g: _rounded(metrics.average_clustering(g), "average_clustering"), f"with {G.COPURCHASE}, {_CLUSTERING} select round(avg(score), 6) as average_clustering from cc")
-_query("average_clustering_full", G.copurchase_full, lambda g: _rounded(metrics.average_clustering(g), "average_clustering"), f"with {G.COPURCHASE_FULL}, {_CLUSTERING} select round(avg(score), 6) as average_clustering from cc")
+_query("local_clustering", G.copurchase_full, lambda g: _score(metrics.local_clustering(g)), f"with {G.COPURCHASE_FULL}, {_CLUSTERING} select id, round(score, 6) as score from cc")
+_query("average_clustering", G.copurchase_full, lambda g: _rounded(metrics.average_clustering(g), "average_clustering"), f"with {G.COPURCHASE_FULL}, {_CLUSTERING} select round(avg(score), 6) as average_clustering from cc")
 _query(
     "assortativity", G.copurchase_full, lambda g: _rounded(metrics.assortativity(g), "assortativity"),
     f"with {G.COPURCHASE_FULL}, k as (select src as id, count(*)::double as k from e group by 1) select round(corr(a.k, b.k), 6) as assortativity from e join k a on a.id = src join k b on b.id = dst",
@@ -102,11 +99,11 @@ def _anf_sql(registers: int, steps: int) -> str:
     for k in range(1, steps + 1):
         ctes.append(f"r{k} as materialized (select id, i, bit_or(reg) as reg from (select * from r{k - 1} union all select e.src, r.i, r.reg from e join r{k - 1} r on r.id = e.dst) group by 1, 2)")
     parts = [f"select {k} as step, sum(pow(2, z)) / 0.77351 as size from (select id, avg(bit_count(xor(reg, reg + 1)) - 1) as z from r{k} group by 1)" for k in range(steps + 1)]
-    return f"with {G.COPURCHASE}, {', '.join(ctes)} select step::int as step, round(size, 4) as size from ({' union all '.join(parts)})"
+    return f"with {G.JOURNEYS_UNDIRECTED}, {', '.join(ctes)} select step::int as step, round(size, 4) as size from ({' union all '.join(parts)})"
 
 
-_query("anf", G.copurchase, lambda g: _rounded(metrics.anf(g, 16, 4), "size", digits=4), _anf_sql(16, 4))
-_query("effective_diameter", G.trade_top3, lambda g: _rounded(metrics.effective_diameter(metrics.anf(g)), "effective_diameter"))
+_query("anf", G.journeys_undirected, lambda g: _rounded(metrics.anf(g, 16, 4), "size", digits=4), _anf_sql(16, 4))
+_query("effective_diameter", G.trade, lambda g: _rounded(metrics.effective_diameter(metrics.anf(g)), "effective_diameter"))
 
 # --- centrality -----------------------------------------------------------------
 
@@ -125,16 +122,16 @@ _PAGERANK = (
     "left join (select e.dst as id, sum({x}.s / o.k) as s from e join {x} on {x}.id = e.src join o on o.src = e.src group by 1) r on r.id = v.id"
 )
 _N = ", n as (select count(*)::double as n from v)"
-_query("pagerank", G.trade_top3, lambda g: _score(centrality.pagerank(g, max_iterations=10, tolerance=0)), _rounds_sql(G.TRADE_TOP3, "1.0 / (select n from n)", _PAGERANK, 10, f"{_N}, {_OUT}"))
+_query("pagerank", G.journeys, lambda g: _score(centrality.pagerank(g, max_iterations=10, tolerance=0)), _rounds_sql(G.JOURNEYS, "1.0 / (select n from n)", _PAGERANK, 10, f"{_N}, {_OUT}"))
 _query("pagerank_copurchase", G.copurchase_full, lambda g: _score(centrality.pagerank(g, max_iterations=6, tolerance=0)), _rounds_sql(G.COPURCHASE_FULL, "1.0 / (select n from n)", _PAGERANK, 6, f"{_N}, {_OUT}"))
 _LINEAR = "select v.id, {{a}} * coalesce(r.s, 0) + {{b}} as s from v left join (select e.dst as id, sum({x}.s) as s from e join {x} on {x}.id = e.src group by 1) r on r.id = v.id"
-_query("katz", G.trade_top3, lambda g: _score(centrality.katz(g, max_iterations=8, tolerance=0)), _rounds_sql(G.TRADE_TOP3, "1.0::double", _LINEAR.replace("{{a}}", "0.1::double").replace("{{b}}", "1.0"), 8))
-_query("alpha_centrality", G.trade_top3, lambda g: _score(centrality.alpha_centrality(g, max_iterations=6, tolerance=0)), _rounds_sql(G.TRADE_TOP3, "1.0::double", _LINEAR.replace("{{a}}", "0.5::double").replace("{{b}}", "0"), 6))
+_query("katz", G.journeys, lambda g: _score(centrality.katz(g, max_iterations=8, tolerance=0)), _rounds_sql(G.JOURNEYS, "1.0::double", _LINEAR.replace("{{a}}", "0.1::double").replace("{{b}}", "1.0"), 8))
+_query("alpha_centrality", G.journeys, lambda g: _score(centrality.alpha_centrality(g, max_iterations=6, tolerance=0)), _rounds_sql(G.JOURNEYS, "1.0::double", _LINEAR.replace("{{a}}", "0.5::double").replace("{{b}}", "0"), 6))
 _EIGEN = (
     "with q as (select v.id, coalesce(r.s, 0) as s from v left join (select e.dst as id, sum({x}.s) as s from e join {x} on {x}.id = e.src group by 1) r on r.id = v.id) "
     "select id, s / (select sqrt(sum(s * s)) from q) as s from q"
 )
-_query("eigenvector", G.trade_top3, lambda g: _score(centrality.eigenvector(g, max_iterations=5, tolerance=0)), _rounds_sql(G.TRADE_TOP3, "(1.0 + (row_number() over (order by id) - 1) / 1000.0)::double", _EIGEN, 5))
+_query("eigenvector", G.trade, lambda g: _score(centrality.eigenvector(g, max_iterations=5, tolerance=0)), _rounds_sql(G.TRADE, "(1.0 + (row_number() over (order by id) - 1) / 1000.0)::double", _EIGEN, 5))
 
 
 def _distances_sql(graph: str, weight: str = "w", doublings: int = 5, name: str = "dist") -> str:
@@ -145,8 +142,8 @@ def _distances_sql(graph: str, weight: str = "w", doublings: int = 5, name: str
     return f"with {graph}, {', '.join(ctes)}"
 
 
-_query("closeness", G.trade_top3, lambda g: _score(centrality.closeness(g)), _distances_sql(G.TRADE_TOP3) + ", n as (select count(*) as n from v) select s as id, round(case when count(*) = max(n) and sum(d) > 0 then (max(n) - 1) / sum(d) else 0 end, 6)::double as score from dist, n group by 1")
-_query("harmonic", G.trade_top3, lambda g: _score(centrality.harmonic(g)), _distances_sql(G.TRADE_TOP3) + ", n as (select count(*) as n from v) select s as id, round(coalesce(sum(1 / d) filter (d > 0), 0) / (max(n) - 1), 6)::double as score from dist, n group by 1")
+_query("closeness", G.trade, lambda g: _score(centrality.closeness(g)), _distances_sql(G.TRADE) + ", n as (select count(*) as n from v) select s as id, round(case when count(*) = max(n) and sum(d) > 0 then (max(n) - 1) / sum(d) else 0 end, 6)::double as score from dist, n group by 1")
+_query("harmonic", G.trade, lambda g: _score(centrality.harmonic(g)), _distances_sql(G.TRADE) + ", n as (select count(*) as n from v) select s as id, round(coalesce(sum(1 / d) filter (d > 0), 0) / (max(n) - 1), 6)::double as score from dist, n group by 1")
 
 
 def _betweenness_sql(graph: str, weight: str) -> str:
@@ -159,18 +156,18 @@ def _betweenness_sql(graph: str, weight: str) -> str:
     )
 
 
-_query("betweenness", G.trade_top3, lambda g: _score(centrality.betweenness(g)), _betweenness_sql(G.TRADE_TOP3, "1.0::double"))
-_query("betweenness_weighted", G.trade_top3, lambda g: _score(centrality.betweenness(g, weighted=True)), _betweenness_sql(G.TRADE_TOP3, "w"))
+_query("betweenness", G.journeys, lambda g: _score(centrality.betweenness(g)), _betweenness_sql(G.JOURNEYS, "1.0::double"))
+_query("betweenness_weighted", G.trade, lambda g: _score(centrality.betweenness(g, weighted=True)), _betweenness_sql(G.TRADE, "w"))
 
 # --- paths and health -------------------------------------------------------------
 
 _PAIRS = " select s as src, t as dst, round(d, 6) as dist from dist"
-_query("floyd_warshall", G.trade_top3, lambda g: _rounded(paths.floyd_warshall(g), "dist"), _distances_sql(G.TRADE_TOP3) + _PAIRS)
-_query("johnson", G.trade_top3, lambda g: _rounded(paths.johnson(g), "dist"), _distances_sql(G.TRADE_TOP3) + _PAIRS)
-_FROM_TO = _distances_sql(G.TRADE_TOP3) + " select round(d, 6) as weight from dist where s = {a} and t = {b}"
+_query("floyd_warshall", G.trade, lambda g: _rounded(paths.floyd_warshall(g), "dist"), _distances_sql(G.TRADE) + _PAIRS)
+_query("johnson", G.trade, lambda g: _rounded(paths.johnson(g), "dist"), _distances_sql(G.TRADE) + _PAIRS)
+_FROM_TO = _distances_sql(G.TRADE) + " select round(d, 6) as weight from dist where s = {a} and t = {b}"
 
 
-_query("dijkstra", G.trade_top3, lambda g: _rounded(paths.dijkstra(g, 0, 7).select("weight"), "weight"), _FROM_TO.format(a=0, b=7))
+_query("dijkstra", G.trade, lambda g: _rounded(paths.dijkstra(g, 0, 7).select("weight"), "weight"), _FROM_TO.format(a=0, b=7))
 _query("dijkstra_full", G.trade_full, lambda g: _rounded(paths.dijkstra(g, 3, 12).select("weight"), "weight"), _distances_sql(G.TRADE_FULL) + " select round(d, 6) as weight from dist where s = 3 and t = 12")
 
 
@@ -204,11 +201,11 @@ def _astar(spark: SparkSession) -> DataFrame:
 
 _QUERIES["astar"] = lambda spark, d: _astar(spark)
 _SQL["astar"] = "select 11.0::double as weight, 12::int as hops"
-_query("reachable", G.trade_top3, lambda g: paths.reachable(g, 0, 7), _distances_sql(G.TRADE_TOP3) + " select count(*) > 0 as reachable from dist where s = 0 and t = 7")
-_query("eccentricity", G.trade_top3, lambda g: _rounded(health.eccentricity(g), "eccentricity"), _distances_sql(G.TRADE_TOP3) + " select s as id, round(max(d), 6) as eccentricity from dist group by 1")
-_HEALTH = _distances_sql(G.TRADE_TOP3) + ", x as (select s, max(d) as m from dist group by 1) "
+_query("reachable", G.trade, lambda g: paths.reachable(g, 0, 7), _distances_sql(G.TRADE) + " select count(*) > 0 as reachable from dist where s = 0 and t = 7")
+_query("eccentricity", G.trade, lambda g: _rounded(health.eccentricity(g), "eccentricity"), _distances_sql(G.TRADE) + " select s as id, round(max(d), 6) as eccentricity from dist group by 1")
+_HEALTH = _distances_sql(G.TRADE) + ", x as (select s, max(d) as m from dist group by 1) "
 _query(
-    "health_metrics", G.trade_top3, lambda g: _rounded(health.analyze(g), "diameter", "radius", "average_path_length"),
+    "health_metrics", G.trade, lambda g: _rounded(health.analyze(g), "diameter", "radius", "average_path_length"),
     _HEALTH + "select round(max(m), 6) as diameter, round(min(m), 6) as radius, (select round(avg(d), 6) from dist where s <> t) as average_path_length from x",
 )
 
@@ -217,28 +214,28 @@ _query("topological_layers", G.order_dag, connectivity.layers, f"with recursive
 _query("topological_sort", G.order_dag, connectivity.topological_sort, f"with recursive {G.ORDER_DAG}, {_LAYERS} select id, row_number() over (order by layer, id) - 1 as position from depth")
 _query("is_acyclic", G.order_dag, connectivity.is_acyclic, f"with recursive {G.ORDER_DAG}, {_LAYERS} select (select count(*) from depth) = (select count(*) from v) as acyclic")
 _REACH = "reach(src, dst) as (select id, id from v union select r.src, e.dst from reach r join e on e.src = r.dst)"
-_query("is_cyclic", G.trade_top3, connectivity.is_cyclic, f"with recursive {G.TRADE_TOP3}, {_REACH} select count(*) > 0 as cyclic from reach r join e on e.dst = r.src and e.src = r.dst")
+_query("is_cyclic", G.journeys, connectivity.is_cyclic, f"with recursive {G.JOURNEYS}, {_REACH} select count(*) > 0 as cyclic from reach r join e on e.dst = r.src and e.src = r.dst")
 _query("transitive_closure", G.order_dag, lambda g: transform.transitive_closure(g).edges, f"with recursive {G.ORDER_DAG}, {_REACH} select src, dst, 1.0::double as weight from reach")
 _QUERIES["transitive_reduction"] = lambda spark, d: transform.transitive_reduction(G.order_dag(spark, d, skips=True)).edges
 _SQL["transitive_reduction"] = (
     f"with recursive {G.ORDER_DAG_SKIPS}, {_REACH} select src, dst, w as weight from e where not exists (select 1 from e f join reach r on r.src = f.dst and r.dst = e.dst and f.dst <> e.dst where f.src = e.src)"
 )
 _query(
-    "ego_graph", G.trade_top3, lambda g: transform.ego_graph(g, 0, 1).edges,
-    f"with {G.TRADE_TOP3}, k as (select 0 as id union select dst from e where src = 0 union select src from e where dst = 0) select src, dst, w as weight from e where src in (select id from k) and dst in (select id from k)",
+    "ego_graph", G.journeys, lambda g: transform.ego_graph(g, g.nodes.agg(F.min("id")).first()[0], 1).edges,
+    f"with {G.JOURNEYS}, c as (select min(id) as id from v), k as (select id from c union select dst from e where src in (from c) union select src from e where dst in (from c)) select src, dst, w as weight from e where src in (select id from k) and dst in (select id from k)",
 )
-_query("subgraph", G.trade_top3, lambda g: transform.subgraph(g, [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 99]).edges, f"with {G.TRADE_TOP3} select src, dst, w as weight from e where src < 10 and dst < 10")
+_query("subgraph", G.trade, lambda g: transform.subgraph(g, [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 99]).edges, f"with {G.TRADE} select src, dst, w as weight from e where src < 10 and dst < 10")
 _query(
-    "contract", G.trade_top3, lambda g: transform.contract(g, 0, 1).edges,
-    f"with {G.TRADE_TOP3} select s as src, t as dst, w as weight from (select case when src = 1 then 0 else src end as s, case when dst = 1 then 0 else dst end as t, w from e) where s <> t",
+    "contract", G.trade, lambda g: transform.contract(g, 0, 1).edges,
+    f"with {G.TRADE} select s as src, t as dst, w as weight from (select case when src = 1 then 0 else src end as s, case when dst = 1 then 0 else dst end as t, w from e) where s <> t",
 )
 
 # --- connectivity -------------------------------------------------------------------
 
-_query("weakly_connected", G.copurchase, connectivity.weakly_connected, f"with recursive {G.COPURCHASE}, {_REACH} select src as id, min(dst) as component from reach group by 1")
+_query("weakly_connected", G.journeys_undirected, connectivity.weakly_connected, f"with recursive {G.JOURNEYS_UNDIRECTED}, {_REACH} select src as id, min(dst) as component from reach group by 1")
 _MIN_LABELS = ", ".join(["l0 as (select id, id as c from v)"] + [f"l{k} as materialized (select id, min(c) as c from (select id, c from l{k - 1} union all select e.src, l.c from e join l{k - 1} l on l.id = e.dst) group by 1)" for k in range(1, 9)])
 _query("weakly_connected_full", G.copurchase_full, connectivity.weakly_connected, f"with {G.COPURCHASE_FULL}, {_MIN_LABELS} select id, c as component from l8")
-_query("strongly_connected", G.trade_top3, connectivity.strongly_connected, f"with recursive {G.TRADE_TOP3}, {_REACH} select a.src as id, min(a.dst) as component from reach a join reach b on a.src = b.dst and a.dst = b.src group by 1")
+_query("strongly_connected", G.journeys, connectivity.strongly_connected, f"with recursive {G.JOURNEYS}, {_REACH} select a.src as id, min(a.dst) as component from reach a join reach b on a.src = b.dst and a.dst = b.src group by 1")
 
 
 def _core_sql(rounds: int = 14) -> str:
@@ -247,19 +244,19 @@ def _core_sql(rounds: int = 14) -> str:
         ctes.append(
             f"c{k} as materialized (select id, max(least(c, nth)) as c from (select e.src as id, x.c, row_number() over (partition by e.src order by x.c desc) as nth from e join c{k - 1} x on x.id = e.dst) group by 1)"
         )
-    return f"with {G.COPURCHASE}, {', '.join(ctes)} "
+    return f"with {G.JOURNEYS_UNDIRECTED}, {', '.join(ctes)} "
 
 
-_query("core_numbers", G.copurchase, connectivity.core_numbers, _core_sql() + "select id, c::bigint as core from c14")
-_query("k_core", G.copurchase, lambda g: connectivity.k_core(g, 2).edges, _core_sql() + "select src, dst, w as weight from e where src in (select id from c14 where c >= 2) and dst in (select id from c14 where c >= 2)")
+_query("core_numbers", G.journeys_undirected, connectivity.core_numbers, _core_sql() + "select id, coalesce(c, 0)::bigint as core from v left join c14 using (id)")
+_query("k_core", G.journeys_undirected, lambda g: connectivity.k_core(g, 2).edges, _core_sql() + "select src, dst, w as weight from e where src in (select id from c14 where c >= 2) and dst in (select id from c14 where c >= 2)")
 _query(
-    "bridges", G.copurchase, lambda g: connectivity.bridges_and_articulation_points(g)[0],
-    f"with recursive {G.COPURCHASE}, walk(u, v, pos) as (select src, dst, src from e where src < dst union select w.u, w.v, e.dst from walk w join e on e.src = w.pos and not (e.src = w.u and e.dst = w.v) and not (e.src = w.v and e.dst = w.u)) "
+    "bridges", G.journeys_undirected, lambda g: connectivity.bridges_and_articulation_points(g)[0],
+    f"with recursive {G.JOURNEYS_UNDIRECTED}, walk(u, v, pos) as (select src, dst, src from e where src < dst union select w.u, w.v, e.dst from walk w join e on e.src = w.pos and not (e.src = w.u and e.dst = w.v) and not (e.src = w.v and e.dst = w.u)) "
     "select src as u, dst as v from e where src < dst and not exists (select 1 from walk w where w.u = e.src and w.v = e.dst and w.pos = e.dst)",
 )
 _query(
-    "articulation_points", G.copurchase, lambda g: connectivity.bridges_and_articulation_points(g)[1],
-    f"with recursive {G.COPURCHASE}, walk(cut, pos) as (select src, min(dst) from e group by 1 union select w.cut, e.dst from walk w join e on e.src = w.pos and e.dst <> w.cut) "
+    "articulation_points", G.journeys_undirected, lambda g: connectivity.bridges_and_articulation_points(g)[1],
+    f"with recursive {G.JOURNEYS_UNDIRECTED}, walk(cut, pos) as (select src, min(dst) from e group by 1 union select w.cut, e.dst from walk w join e on e.src = w.pos and e.dst <> w.cut) "
     "select distinct src as id from e where not exists (select 1 from walk w where w.cut = e.src and w.pos = e.dst)",
 )
 _query(
@@ -268,13 +265,13 @@ _query(
 )
 _query("is_bipartite", G.cust_supp, connectivity.is_bipartite, "select true as bipartite")
 _query(
-    "is_bipartite_copurchase", G.copurchase, connectivity.is_bipartite,
-    f"with recursive {G.COPURCHASE}, walk(s, id, p) as (select id, id, 0 from v union select s, e.dst, 1 - p from walk join e on e.src = walk.id) select count(*) = 0 as bipartite from walk where s = id and p = 1",
+    "is_bipartite_journeys", G.journeys_undirected, connectivity.is_bipartite,
+    f"with recursive {G.JOURNEYS_UNDIRECTED}, walk(s, id, p) as (select id, id, 0 from v union select s, e.dst, 1 - p from walk join e on e.src = walk.id) select count(*) = 0 as bipartite from walk where s = id and p = 1",
 )
 _query("matching_size", G.cust_supp, lambda g: connectivity.maximum_matching(g).agg(F.count(F.lit(1)).alias("pairs")), "select count(distinct l_suppkey) as pairs from lineitem")
 _query(
-    "minimum_spanning_forest", G.copurchase, mst.minimum_spanning_forest,
-    f"with recursive {G.COPURCHASE}, walk(u, v, w, pos) as (select src, dst, w, src from e where src < dst union select k.u, k.v, k.w, e.dst from walk k join e on e.src = k.pos and (e.w, least(e.src, e.dst), greatest(e.src, e.dst)) < (k.w, k.u, k.v)) "
+    "minimum_spanning_forest", G.journeys_undirected, mst.minimum_spanning_forest,
+    f"with recursive {G.JOURNEYS_UNDIRECTED}, walk(u, v, w, pos) as (select src, dst, w, src from e where src < dst union select k.u, k.v, k.w, e.dst from walk k join e on e.src = k.pos and (e.w, least(e.src, e.dst), greatest(e.src, e.dst)) < (k.w, k.u, k.v)) "
     "select src, dst, w as weight from e where src < dst and not exists (select 1 from walk k where k.u = e.src and k.v = e.dst and k.pos = e.dst)",
 )
 
@@ -298,7 +295,7 @@ _query(
     "max_flow_residual", G.event_flow, lambda g: flow.max_flow(g, *_ENDS(g)).residual.selectExpr(*_PAIR, "capacity").groupBy("a", "b").agg(F.sum("capacity").alias("capacity")),
     f"with {G.EVENT_FLOW} select {', '.join(_PAIR)}, sum(w) as capacity from e group by 1, 2",
 )
-_query("max_flow_sides", G.trade_top3, lambda g: flow.max_flow(g, 0, 7).sides)
+_query("max_flow_sides", G.trade, lambda g: flow.max_flow(g, 0, 7).sides)
 _query("global_min_cut", G.event_links, flow.global_min_cut, f"with {G.EVENT_LINKS} " + _CUT.format(name="min_cut", where="m.m between 1 and 30"))
 _query("global_min_cut_trade", G.trade_full, flow.global_min_cut)
 _CLIQUES = (
@@ -315,21 +312,21 @@ _ALL_CLIQUES = ", ".join(
     + [f"x{n} as (select any_value(q) as q from (select q, unnest(q) as m from c{n}) p join e on e.src = p.m group by p.q, dst having count(*) = {n})" for n in range(1, 10)]
 )
 _query(
-    "maximal_clique_sizes", G.copurchase, lambda g: cliques.maximal_cliques(g).groupBy(F.size("clique").alias("size")).agg(F.count(F.lit(1)).alias("cliques")),
-    f"with {G.COPURCHASE}, {_ALL_CLIQUES} select size::int as size, count(*) as cliques from ("
+    "maximal_clique_sizes", G.journeys_undirected, lambda g: cliques.maximal_cliques(g).groupBy(F.size("clique").alias("size")).agg(F.count(F.lit(1)).alias("cliques")),
+    f"with {G.JOURNEYS_UNDIRECTED}, {_ALL_CLIQUES} select size::int as size, count(*) as cliques from ("
     + " union all ".join(f"select {n} as size from c{n} where q not in (select q from x{n})" for n in range(1, 10)) + ") group by 1",
 )
 _query("max_clique", G.event_links, lambda g: cliques.max_clique(g).select(F.size("clique").alias("size")), f"with {G.EVENT_LINKS}, {_CLIQUES} select max(n)::int as size from q")
-_query("coloring_dsatur", G.copurchase, lambda g: cliques.dsatur(g))
+_query("coloring_dsatur", G.journeys_undirected, lambda g: cliques.dsatur(g))
 _COLORS = (
     "a as (select a0, a1, a2, a3, a4, [a0, a1, a2, a3, a4] as c from range(1, 6) t0(a0), range(1, 6) t1(a1), range(1, 6) t2(a2), range(1, 6) t3(a3), range(1, 6) t4(a4)) "
     "select min(list_max(c))::bigint as colors from a where not exists (select 1 from e where c[src + 1] = c[dst + 1])"
 )
 _query("coloring_exact", G.event_links, lambda g: cliques.chromatic_number(cliques.exact_coloring(g)), f"with {G.EVENT_LINKS}, {_COLORS}")
-_query("label_propagation", G.copurchase, lambda g: community.label_propagation(g))
-_query("louvain", G.copurchase, lambda g: community.louvain(g))
-_query("leiden", G.copurchase, lambda g: community.leiden(g))
-_query("leiden_hierarchical", G.copurchase, lambda g: community.leiden_hierarchical(g).levels)
+_query("label_propagation", G.journeys_undirected, lambda g: community.label_propagation(g))
+_query("louvain", G.journeys_undirected, lambda g: community.louvain(g))
+_query("leiden", G.journeys_undirected, lambda g: community.leiden(g))
+_query("leiden_hierarchical", G.journeys_undirected, lambda g: community.leiden_hierarchical(g).levels)
 
 
 def _conflicts(g: Graph) -> DataFrame:
@@ -352,16 +349,16 @@ def _community_laws(find: Callable[[Graph], DataFrame]) -> Callable[[Graph], Dat
     return run
 
 
-_query("coloring_conflicts", G.copurchase, _conflicts, f"with {G.COPURCHASE} select count(*) as nodes, 0::bigint as conflicts from v")
+_query("coloring_conflicts", G.journeys_undirected, _conflicts, f"with {G.JOURNEYS_UNDIRECTED} select count(*) as nodes, 0::bigint as conflicts from v")
 for _name, _find in (("louvain", community.louvain), ("leiden", community.leiden), ("leiden_finest", lambda g: community.leiden_hierarchical(g).finest())):
-    _query(f"{_name}_laws", G.trade_full if _name == "leiden_finest" else G.copurchase, _community_laws(_find), f"with {G.TRADE_FULL if _name == 'leiden_finest' else G.COPURCHASE} select count(*) as nodes, 0::bigint as wide, true as reaches from v")
+    _query(f"{_name}_laws", G.trade_full if _name == "leiden_finest" else G.journeys_undirected, _community_laws(_find), f"with {G.TRADE_FULL if _name == 'leiden_finest' else G.JOURNEYS_UNDIRECTED} select count(*) as nodes, 0::bigint as wide, true as reaches from v")
 
 # --- files and generators -----------------------------------------------------------------
 
 
 def _round_trip(format: str, undirected: bool = False) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        g = G.copurchase(spark, sf_dir) if undirected else G.trade_top3(spark, sf_dir)
+        g = G.journeys_undirected(spark, sf_dir) if undirected else G.trade(spark, sf_dir)
         path = fresh_path(spark, format)
         files.dump(g, path, format)
         return files.load(spark, path, format, directed=not undirected, integer_labels=True).edges
@@ -371,9 +368,9 @@ def _round_trip(format: str, undirected: bool = False) -> Query:
 
 for _format in files.FORMATS:
     _QUERIES[f"io_{_format}"] = _round_trip(_format)
-    _SQL[f"io_{_format}"] = f"with {G.TRADE_TOP3} select src, dst, w as weight from e"
+    _SQL[f"io_{_format}"] = f"with {G.TRADE} select src, dst, w as weight from e"
 _QUERIES["io_undirected"] = _round_trip("edgelist", undirected=True)
-_SQL["io_undirected"] = f"with {G.COPURCHASE} select src, dst, w as weight from e"
+_SQL["io_undirected"] = f"with {G.JOURNEYS_UNDIRECTED} select src, dst, w as weight from e"
 
 
 def _pajek(spark: SparkSession, sf_dir: str) -> DataFrame:
