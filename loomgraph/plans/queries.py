@@ -235,7 +235,7 @@ _query(
 _query("weakly_connected", G.journeys_undirected, connectivity.weakly_connected, f"with recursive {G.JOURNEYS_UNDIRECTED}, {_REACH} select src as id, min(dst) as component from reach group by 1")
 _MIN_LABELS = ", ".join(["l0 as (select id, id as c from v)"] + [f"l{k} as materialized (select id, min(c) as c from (select id, c from l{k - 1} union all select e.src, l.c from e join l{k - 1} l on l.id = e.dst) group by 1)" for k in range(1, 9)])
 _query("weakly_connected_full", G.copurchase_full, connectivity.weakly_connected, f"with {G.COPURCHASE_FULL}, {_MIN_LABELS} select id, c as component from l8")
-_query("strongly_connected", G.journeys, connectivity.strongly_connected, f"with recursive {G.JOURNEYS}, {_REACH} select a.src as id, min(a.dst) as component from reach a join reach b on a.src = b.dst and a.dst = b.src group by 1")
+_query("strongly_connected", G.trade, connectivity.strongly_connected, f"with recursive {G.TRADE}, {_REACH} select a.src as id, min(a.dst) as component from reach a join reach b on a.src = b.dst and a.dst = b.src group by 1")
 
 
 def _core_sql(rounds: int = 14) -> str:
@@ -312,21 +312,21 @@ _ALL_CLIQUES = ", ".join(
     + [f"x{n} as (select any_value(q) as q from (select q, unnest(q) as m from c{n}) p join e on e.src = p.m group by p.q, dst having count(*) = {n})" for n in range(1, 10)]
 )
 _query(
-    "maximal_clique_sizes", G.journeys_undirected, lambda g: cliques.maximal_cliques(g).groupBy(F.size("clique").alias("size")).agg(F.count(F.lit(1)).alias("cliques")),
-    f"with {G.JOURNEYS_UNDIRECTED}, {_ALL_CLIQUES} select size::int as size, count(*) as cliques from ("
+    "maximal_clique_sizes", G.event_links, lambda g: cliques.maximal_cliques(g).groupBy(F.size("clique").alias("size")).agg(F.count(F.lit(1)).alias("cliques")),
+    f"with {G.EVENT_LINKS}, {_ALL_CLIQUES} select size::int as size, count(*) as cliques from ("
     + " union all ".join(f"select {n} as size from c{n} where q not in (select q from x{n})" for n in range(1, 10)) + ") group by 1",
 )
 _query("max_clique", G.event_links, lambda g: cliques.max_clique(g).select(F.size("clique").alias("size")), f"with {G.EVENT_LINKS}, {_CLIQUES} select max(n)::int as size from q")
-_query("coloring_dsatur", G.journeys_undirected, lambda g: cliques.dsatur(g))
+_query("coloring_dsatur", G.trade_full, lambda g: cliques.dsatur(g))
 _COLORS = (
     "a as (select a0, a1, a2, a3, a4, [a0, a1, a2, a3, a4] as c from range(1, 6) t0(a0), range(1, 6) t1(a1), range(1, 6) t2(a2), range(1, 6) t3(a3), range(1, 6) t4(a4)) "
     "select min(list_max(c))::bigint as colors from a where not exists (select 1 from e where c[src + 1] = c[dst + 1])"
 )
 _query("coloring_exact", G.event_links, lambda g: cliques.chromatic_number(cliques.exact_coloring(g)), f"with {G.EVENT_LINKS}, {_COLORS}")
-_query("label_propagation", G.journeys_undirected, lambda g: community.label_propagation(g))
-_query("louvain", G.journeys_undirected, lambda g: community.louvain(g))
-_query("leiden", G.journeys_undirected, lambda g: community.leiden(g))
-_query("leiden_hierarchical", G.journeys_undirected, lambda g: community.leiden_hierarchical(g).levels)
+_query("label_propagation", G.trade_full, lambda g: community.label_propagation(g))
+_query("louvain", G.trade_full, lambda g: community.louvain(g))
+_query("leiden", G.trade_full, lambda g: community.leiden(g))
+_query("leiden_hierarchical", G.trade_full, lambda g: community.leiden_hierarchical(g).levels)
 
 
 def _conflicts(g: Graph) -> DataFrame:
@@ -349,9 +349,9 @@ def _community_laws(find: Callable[[Graph], DataFrame]) -> Callable[[Graph], Dat
     return run
 
 
-_query("coloring_conflicts", G.journeys_undirected, _conflicts, f"with {G.JOURNEYS_UNDIRECTED} select count(*) as nodes, 0::bigint as conflicts from v")
+_query("coloring_conflicts", G.trade_full, _conflicts, f"with {G.TRADE_FULL} select count(*) as nodes, 0::bigint as conflicts from v")
 for _name, _find in (("louvain", community.louvain), ("leiden", community.leiden), ("leiden_finest", lambda g: community.leiden_hierarchical(g).finest())):
-    _query(f"{_name}_laws", G.trade_full if _name == "leiden_finest" else G.journeys_undirected, _community_laws(_find), f"with {G.TRADE_FULL if _name == 'leiden_finest' else G.JOURNEYS_UNDIRECTED} select count(*) as nodes, 0::bigint as wide, true as reaches from v")
+    _query(f"{_name}_laws", G.trade_full, _community_laws(_find), f"with {G.TRADE_FULL} select count(*) as nodes, 0::bigint as wide, true as reaches from v")
 
 # --- files and generators -----------------------------------------------------------------
 
