@@ -4,8 +4,9 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's documents.
 
 1. toxicity: documents scored 0.7 or more go; the model learns from ``labels``;
-2. near-duplicates: one document of each group stays (links are pairs whose
-   5-word shingles have a Jaccard similarity of ``NEAR_FROM`` or more);
+2. near-duplicates: one document of each group stays (SimHash finds candidates;
+   links are those whose 5-word shingles have a Jaccard similarity of
+   ``NEAR_FROM`` or more);
 3. substring dedup: words of 20-word windows that occur earlier go;
 4. decontamination: documents with a passage of ``benchmark`` go;
 5. packing: what is left becomes sequences of 2048 tokens.

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from loomgraph.llm import near_copies
+from loomgraph.llm import near_copies, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -46,6 +46,62 @@ def test_band_keys_miss_as_stated(size):
     assert missed <= 3  # 0.2 expected at a similarity of 0.8
 
 
+@pytest.mark.parametrize("size", [60, 300])
+@pytest.mark.parametrize("n", [10_000, 1 << 21, 1 << 24])
+def test_fingerprints_miss_as_stated(size, n):
+    words, groups, most = near_copies.sketch_plan(n, 0.8)
+    rng = np.random.default_rng(size)
+    both = np.full((64, 64), n / 4) + np.eye(64) * n / 4
+    plan = simhash.plan_probes(n, both, groups - 1, (groups,))
+    assert sum(t + 1 for _, t in plan) == groups
+    shared, own = round(size * 8 / 10), round(size / 10)
+    missed = 0
+    for _ in range(700):
+        s = rng.integers(0, 1 << 64, shared + 2 * own, np.uint64)
+        a, b = near_copies.sketch(s[: shared + own], words), near_copies.sketch(np.concatenate([s[:shared], s[shared + own :]]), words)
+        apart = simhash.bit_matrix(a ^ b)
+        meet = any(apart[k, bits].sum() <= t for k in range(words) for bits, t in plan)
+        missed += not (meet and apart[: near_copies.CHECKED].sum() <= most)
+    assert missed <= 2  # 0.07 expected at most
+
+
+def test_stage_gets_candidates_from_simhash(spark, monkeypatch):
+    pairs = [p for p in near_pairs(60) if 0.8 <= jaccard(*p) < 0.9]
+    rows = [(2 * i + k, t, "en", "s", None) for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    plans, plan_probes = [], simhash.plan_probes
+
+    def planned(n, both, radius, choices):
+        plans.append((radius, plan_probes(n, both, radius, choices)))
+        return plans[-1][1]
+
+    monkeypatch.setattr(simhash, "plan_probes", planned)
+    assert corpus_pipeline.drop_near_copies(spark, docs, "").count() == len(pairs) > 10
+    assert plans and all(sum(t + 1 for _, t in plan) == radius + 1 for radius, plan in plans)
+    # where only equal words of a fingerprint meet, these pairs stay
+    monkeypatch.setattr(simhash, "plan_probes", lambda *a: [(list(range(64)), 0)])
+    assert corpus_pipeline.drop_near_copies(spark, docs, "").count() == len(rows)
+
+
+@pytest.mark.parametrize("square", [512, 0])
+def test_buckets_link_what_is_near(square, monkeypatch):
+    monkeypatch.setattr(near_copies, "SQUARE", square)
+    rng = np.random.default_rng(4)
+    seeds = rng.integers(0, 1 << 64, (6, 6), np.uint64)
+    prints = np.concatenate([seeds[rng.integers(0, 6, 60)] ^ (np.uint64(1) << rng.integers(0, 64, (60, 6), np.uint64)) for _ in range(2)])
+    for most in (0, 7, 10):
+        near = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2) <= most
+        labels = []
+        for edges in (np.argwhere(near).tolist(), near_copies.bucket_forest(prints, most)):
+            label = np.arange(len(prints))
+            for _ in prints:
+                for i, k in edges:
+                    label[[i, k]] = min(label[i], label[k])
+            labels.append(label.tolist())
+        assert labels[0] == labels[1]
+    assert len(near_copies.bucket_forest(prints, 12)) == len(prints) - 6 and near_copies.bucket_forest(prints[:0], 9) == []
+
+
 def test_stage_decides_by_exact_similarity(spark):
     pairs = list(near_pairs(450))
     rows = [(2 * i + k, t, "en", "s", None) for i, p in enumerate(pairs) for k, t in enumerate(p)]
