@@ -17,6 +17,8 @@ import numpy as np
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
+#: Grams hashed at once.
+GRAMS = 1 << 13
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -114,21 +116,21 @@ def owned_windows(pos: np.ndarray, key: np.ndarray, first: np.ndarray, last: np.
     """
     g, key = w - k + 1, order_of(key)
     lo, hi = np.maximum(first, pos - g + 1), np.minimum(pos, last - w)
+    near = np.arange(len(pos))  # anchors that may have another so many steps away; positions ascend, so they only get fewer
     for step in range(1, g):
-        i = np.arange(step, len(pos))
-        near = pos[i - step] > pos[i] - g
-        if not near.any():
+        near = near[near >= step]
+        near = near[pos[near - step] > pos[near] - g]
+        if not len(near):
             break
-        i = i[near]
-        i = i[key[i - step] <= key[i]]
+        i = near[key[near - step] <= key[near]]
         lo[i] = np.maximum(lo[i], pos[i - step] + 1)
+    near = np.arange(len(pos))
     for step in range(1, g):
-        i = np.arange(0, len(pos) - step)
-        near = pos[i + step] < pos[i] + g
-        if not near.any():
+        near = near[near < len(pos) - step]
+        near = near[pos[near + step] < pos[near] + g]
+        if not len(near):
             break
-        i = i[near]
-        i = i[key[i + step] < key[i]]
+        i = near[key[near + step] < key[near]]
         hi[i] = np.minimum(hi[i], pos[i + step] - g)
     return lo, hi
 
@@ -136,8 +138,10 @@ def owned_windows(pos: np.ndarray, key: np.ndarray, first: np.ndarray, last: np.
 def anchor_keys(symbols: np.ndarray, pos: np.ndarray, k: int) -> np.ndarray:
     """The hashes of the grams at ``pos``."""
     out = np.zeros(len(pos), np.uint64)
-    for j in range(k):
-        out = out * U(BASE) + symbols[pos + j]
+    if len(pos):
+        grams, factors = np.lib.stride_tricks.sliding_window_view(symbols, k), powers(BASE, k)[::-1].copy()
+        for a in range(0, len(pos), GRAMS):
+            out[a : a + GRAMS] = grams[pos[a : a + GRAMS]] @ factors
     return mix(out)
 
 

@@ -11,8 +11,9 @@ different snippets are cut into arrays of ``ARRAY_BYTES``, and
 1. all suffixes of an array are sorted: ranks by 5-byte prefixes are refined by
    prefix doubling (Larsson and Sadakane) in numpy, until ranks tell ``length``
    bytes apart;
-2. common prefixes are computed in text order (Kasai et al.); runs of suffixes
-   that share ``length`` bytes are groups of equal strings;
+2. strings that follow each other in that order are compared; runs that share
+   ``length`` bytes are groups of equal strings.  Where the strings are so long
+   that this costs more, common prefixes are computed in text order (Kasai et al.);
 3. strings whose anchor occurs in several arrays are merged between the
    arrays by binary search in their sorted strings.
 
@@ -42,6 +43,10 @@ GRAM = 24
 SPOT = 21
 #: Bytes of snippets in one suffix array (a longer snippet has one of its own).
 ARRAY_BYTES = 1 << 20
+#: Bytes compared for each byte of an array beyond which common prefixes are computed instead (a route; results are the same).
+COMPARED = 64
+#: Bytes of strings held at once.
+CHUNK = 4 << 20
 
 
 def windows_of(length: int) -> Windows:
@@ -53,9 +58,12 @@ def byte_symbols(block: Block) -> Symbols:
     return Symbols(BYTE_SYMBOLS[raw], block.starts, block.ends, raw)
 
 
-def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
+def suffix_array(text: np.ndarray, depth: int | None = None, wanted: np.ndarray | None = None) -> np.ndarray:
     """All suffixes in order; with ``depth``, in any order among those that agree in so many bytes.
 
+    With ``wanted`` (a bit for each position) only those suffixes need to be in
+    order among themselves; the last round, whose ranks nothing reads, leaves out the others.
+
     Ranks by 5 bytes are refined by doubling: a suffix's next key is the rank
     of the suffix h bytes on, and only groups of equal rank are sorted again.
     Keys and positions are sorted together as numbers of 64 bits.
@@ -81,11 +89,16 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
     while depth is None or h < depth:
         alone = new & np.append(new[1:], True)
         tied = np.flatnonzero(~alone)
+        last = depth is not None and 2 * h >= depth
+        if last and wanted is not None:
+            tied = tied[wanted[sa[tied]]]
         if not len(tied):
             break
         at = sa[tied]
         key = np.sort((rank[at] << U(2 * SPOT)) | (rank[np.minimum(at + h, n)] << spot) | back[at])
         sa[tied] = n - 1 - (key & mask).astype(np.int64)
+        if last:
+            break
         key >>= spot
         cut = np.ones(len(tied), bool)
         cut[1:] = key[1:] != key[:-1]
@@ -127,12 +140,30 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, starts: np.ndarray, sizes:
     return found
 
 
+def same_as_before(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    """Whether the ``length`` bytes at ``order[i]`` are those at ``order[i - 1]``."""
+    out = np.zeros(len(order), bool)
+    strings = np.lib.stride_tricks.sliding_window_view(text, length)
+    step = max(1, CHUNK // length)
+    for a in range(1, len(order), step):
+        held = strings[order[a - 1 : a + step]]
+        out[a : a + step] = (held[1:] == held[:-1]).all(axis=1)
+    return out
+
+
 def equal_strings(text: np.ndarray, sizes: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
     """Group numbers of ``windows`` (positions), in order of their strings: equal where their ``length`` bytes are equal."""
-    sa = suffix_array(text, length)
-    lcp = common_prefixes(text, sa, np.cumsum(sizes) - sizes, sizes, length)
     group = np.empty(len(text), np.int64)
-    group[sa] = np.cumsum(lcp[sa] < length)
+    if len(windows) * length > COMPARED * len(text):
+        sa = suffix_array(text, length)
+        lcp = common_prefixes(text, sa, np.cumsum(sizes) - sizes, sizes, length)
+        group[sa] = np.cumsum(lcp[sa] < length)
+    else:
+        wanted = np.zeros(len(text), bool)
+        wanted[windows] = True
+        sa = suffix_array(text, length, wanted)
+        order = sa[wanted[sa]]
+        group[order] = np.cumsum(~same_as_before(text, order, length))
     return group[windows]
 
 

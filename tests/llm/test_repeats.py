@@ -176,6 +176,30 @@ def test_strings_need_the_suffix_arrays():
     assert not any(map(any, bytes_removed(texts, 50, none)))
 
 
+def test_short_strings_are_compared_without_common_prefixes(monkeypatch):
+    texts = texts_with_repeats(10)
+    with monkeypatch.context() as m:
+        m.setattr(suffix_dedup, "common_prefixes", None)
+        m.setattr(suffix_dedup, "CHUNK", 200)
+        assert bytes_removed(texts, 50, most=300) == brute_bytes(texts, 50)
+    monkeypatch.setattr(suffix_dedup, "COMPARED", 0)
+    monkeypatch.setattr(suffix_dedup, "same_as_before", None)
+    assert bytes_removed(texts, 50, most=300) == brute_bytes(texts, 50)
+
+
+@pytest.mark.parametrize("depth", [3, 12, 50])
+def test_wanted_suffixes_are_in_order(depth):
+    rng = np.random.default_rng(1)
+    for trial in range(60):
+        n = int(rng.integers(1, 200))
+        text = rng.integers(0, [1, 2, 250][trial % 3] + 1, n).astype(np.uint8)
+        wanted = rng.random(n) < 0.4
+        data, order = text.tobytes(), suffix_dedup.suffix_array(text, depth, wanted)
+        assert sorted(order) == list(range(n))
+        found = [data[i:][:depth] for i in order if wanted[i]]
+        assert found == sorted(found)
+
+
 def test_equal_hashes_of_other_snippets(monkeypatch):
     """Snippets meet by hashes and become one by their bytes."""
     hashes = repeats.range_hashes
