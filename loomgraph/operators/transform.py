@@ -85,7 +85,7 @@ def contract(g: Graph, first, second, keep=None) -> Graph:
     if not g.directed:
         edges = edges.groupBy("src", "dst").agg(F.min("weight").alias("weight"))
     nodes = g.nodes.filter(F.col("id") != go) if a != b else g.nodes
-    return replace(g, nodes=nodes, edges=edges.select("src", "dst", "weight"))
+    return replace(g, nodes=nodes, edges=edges.select("src", "dst", "weight"), distinct=False)
 
 
 def closure_of_bounded_depth(g: Graph, depth: int) -> DataFrame:

@@ -1,9 +1,13 @@
 """What iterative and combinatorial operators read, and results over routes that only large inputs take."""
 
+import itertools
 import os
+import random
 
 import pytest
 
+from loomgraph.model import Graph
+from loomgraph.operators import metrics, triangles
 from loomgraph.plans import graphs
 
 SF = "/root/testdata/sf0.001"
@@ -14,3 +18,42 @@ SF = "/root/testdata/sf0.001"
 def test_small_graphs_over_large_tables_are_written_once(spark, build):
     read = build(spark, SF).edges.inputFiles()
     assert read and not any(f"{name}.parquet" in path for path in read for name in ("lineitem", "orders", "customer", "supplier", "events"))
+
+
+def random_graph(spark, seed, n=60, share=0.25, directed=False):
+    rng = random.Random(seed)
+    pairs = [(a, b) for a in range(n) for b in range(n) if a < b and rng.random() < share]
+    return pairs, Graph.from_list(spark, [(a, b, 1.0) for a, b in pairs], directed=directed, labels=list(range(n)))
+
+
+@pytest.mark.parametrize("buckets", [1, 2, 5, 12])
+def test_triangles_meet_in_tasks_of_three_buckets(spark, monkeypatch, buckets):
+    monkeypatch.setattr(triangles, "LEAST_BUCKETS", buckets)
+    monkeypatch.setattr(triangles, "SLICE", 7)
+    pairs, g = random_graph(spark, buckets)
+    near = set(pairs)
+    expected = {t for t in itertools.combinations(range(60), 3) if all(p in near for p in itertools.combinations(t, 2))}
+    assert triangles.count(g).first()[0] == len(expected)
+    found = [tuple(sorted(r)) for r in metrics.triangles(g).collect()]
+    assert len(found) == len(expected) and set(found) == expected
+    corners = {r.id: (r.k, r.t) for r in triangles.corners(g).collect()}
+    assert corners == {v: (sum(v in p for p in pairs), sum(v in t for t in expected)) for v in range(60)}
+
+
+def test_parallel_edges_multiply_triangles(graph):
+    g = graph("a-b a-b b-c c-a c-a c-a d-a")
+    assert metrics.triangle_count(g).first()[0] == 1 and metrics.triangle_count(g, multi=True).first()[0] == 6
+
+
+def test_no_wedges_are_shuffled(spark):
+    _, g = random_graph(spark, 3)
+    plan = triangles.count(g)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1 and plan.count("Join") <= 4  # ranks and their offsets, for both ends
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_copurchase_pairs_are_written_once_in_tasks_of_bounded_size(spark, monkeypatch):
+    g = graphs.copurchase_full(spark, SF)
+    assert not any("lineitem" in path for path in g.edges.inputFiles()) and g.distinct
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    assert graphs._tasks(lines, each=100) == lines.count() // 100 + 1
