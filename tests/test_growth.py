@@ -7,7 +7,7 @@ import random
 import pytest
 
 from loomgraph.model import Graph
-from loomgraph.operators import metrics, triangles
+from loomgraph.operators import components, matching, metrics, triangles
 from loomgraph.plans import graphs
 
 SF = "/root/testdata/sf0.001"
@@ -57,3 +57,51 @@ def test_copurchase_pairs_are_written_once_in_tasks_of_bounded_size(spark, monke
     assert not any("lineitem" in path for path in g.edges.inputFiles()) and g.distinct
     lines = spark.read.parquet(f"{SF}/lineitem.parquet")
     assert graphs._tasks(lines, each=100) == lines.count() // 100 + 1
+
+
+def matched(adj):
+    """The size of a largest matching by augmenting paths, one left node at a time."""
+    mate = {}
+
+    def free(v, seen):
+        for w in adj[v]:
+            if w not in seen:
+                seen.add(w)
+                if w not in mate or free(mate[w], seen):
+                    mate[w] = v
+                    return True
+        return False
+
+    return sum(free(v, set()) for v in adj)
+
+
+@pytest.mark.parametrize("seed, n, m", [(1, 30, 30), (2, 40, 20), (3, 20, 40)])
+def test_matching_searches_where_offers_end_short(spark, seed, n, m):
+    rng = random.Random(seed)
+    adj = {a: [b for b in range(100, 100 + m) if rng.random() < 2 / m] for a in range(n)}
+    edges = spark.createDataFrame([(a, b) for a, bs in adj.items() for b in bs], "l long, r long").repartition(3).cache()
+    found = [tuple(r) for r in matching.largest(edges).collect()]
+    assert len(found) == matched(adj) and all(r in adj[l] for l, r in found)
+    assert len({l for l, _ in found}) == len({r for _, r in found}) == len(found)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_contraction_over_a_forest_finds_components_and_sides(spark, seed):
+    rng = random.Random(seed)
+    even = sorted({tuple(sorted((2 * rng.randrange(40), 2 * rng.randrange(40) + 1))) for _ in range(70)})
+    pairs = spark.createDataFrame(even, "src long, dst long").cache()
+    root = {v: v for p in even for v in p}
+    for _ in range(80):
+        for a, b in even:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {r.id: r.component for r in components.contracted(pairs, sides=False).collect()} == root
+    assert {r.id: r.p for r in components.contracted(pairs, sides=True).collect()} == {v: (v - c) % 2 for v, c in root.items()}
+    a = even[0][0]
+    odd = pairs.unionAll(spark.createDataFrame([(even[0][1], 201), (200, 201), (a, 200), (a, 201)], "src long, dst long"))
+    assert components.contracted(odd, sides=True) is None
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_bought_pairs_are_written_once(spark):
+    g = graphs.cust_supp(spark, SF)
+    assert g.distinct and not any(f"{name}.parquet" in path for path in g.edges.inputFiles() for name in ("lineitem", "orders"))
