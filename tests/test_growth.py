@@ -105,3 +105,12 @@ def test_contraction_over_a_forest_finds_components_and_sides(spark, seed):
 def test_bought_pairs_are_written_once(spark):
     g = graphs.cust_supp(spark, SF)
     assert g.distinct and not any(f"{name}.parquet" in path for path in g.edges.inputFiles() for name in ("lineitem", "orders"))
+
+
+def test_anf_keeps_a_row_per_node(spark, monkeypatch):
+    _, g = random_graph(spark, 5, n=12)
+    counts = []
+    write = metrics.checkpoint
+    monkeypatch.setattr(metrics, "checkpoint", lambda df: (counts.append(df.count()), write(df))[1])
+    sizes = [r.size for r in metrics.anf(g, 16, 4).collect()]
+    assert set(counts) == {12} and sizes == sorted(sizes)
