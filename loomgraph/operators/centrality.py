@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..loop import power_iteration
 from ..model import Graph
 from ..storage import checkpoint
-from . import paths
+from . import kernels, parts, paths
 
 
 def _links(g: Graph) -> DataFrame:
@@ -119,17 +120,34 @@ def harmonic(g: Graph) -> DataFrame:
 
 
 def betweenness(g: Graph, weighted: bool = False) -> DataFrame:
-    """Brandes' betweenness, ends excluded, halved for undirected graphs.
+    """Brandes' betweenness, ends excluded, halved for undirected graphs: whole components in batches, larger ones by rounds.
 
-    Shortest-path edges come from all-pairs distances; path counts flow
-    forward and dependencies backward over them, by number of hops, for all
-    sources at once.  Weights must be positive; parallel edges count apart.
+    Weights must be positive; parallel edges count apart.
     """
     if g.n() < 3:
         return g.nodes.select("id", F.lit(0.0).alias("score"))
     if weighted and not g.edges.filter("weight <= 0").isEmpty():
         raise ValueError("weighted betweenness needs positive weights")
-    edges = g.edges.filter("src <> dst").select("src", "dst", F.col("weight") if weighted else F.lit(1.0).alias("weight"))
+
+    def kernel(part: pd.DataFrame) -> pd.DataFrame:
+        found = kernels.betweenness(zip(part["src"].tolist(), part["dst"].tolist(), part["weight"].tolist()), weighted)
+        return pd.DataFrame({"id": pd.Series(list(found), dtype="int64"), "total": pd.Series(list(found.values()), dtype="float64")})
+
+    small, large = parts.split(g, g.edges.filter("src <> dst").select("src", "dst", F.col("weight") if weighted else F.lit(1.0).alias("weight")))
+    total = small.groupBy("batch").applyInPandas(kernel, "id long, total double")
+    if large is not None:
+        total = total.unionAll(_dependencies(parts.rest(g, large, True)))
+    return g.nodes.select("id").join(total, "id", "left").select("id", (F.coalesce("total", F.lit(0.0)) * (1.0 if g.directed else 0.5)).alias("score"))
+
+
+def _dependencies(g: Graph) -> DataFrame:
+    """(id, total): the dependencies of all sources on a node, for components too large for a task.
+
+    Shortest-path edges come from all-pairs distances; path counts flow
+    forward and dependencies backward over them, by number of hops, for all
+    sources at once.
+    """
+    edges = g.edges
     dist = checkpoint(paths.relax(Graph(g.nodes, edges, True), g.nodes.select("id"), tolerate_negative=False))
     a = dist.select(F.col("src").alias("s"), F.col("dst").alias("u"), F.col("dist").alias("du"))
     b = dist.select(F.col("src").alias("s"), F.col("dst").alias("v"), F.col("dist").alias("dv"))
@@ -155,11 +173,9 @@ def betweenness(g: Graph, weighted: bool = False) -> DataFrame:
         if wave.isEmpty():
             break
         waves.append(wave)
-    scores = g.nodes.select("id")
     if not waves:
-        return scores.select("id", F.lit(0.0).alias("score"))
+        return g.nodes.select("id", F.lit(0.0).alias("total"))
     total = waves[0]
     for w in waves[1:]:
         total = total.unionAll(w)
-    total = total.groupBy(F.col("v").alias("id")).agg(F.sum("unit").alias("total"))
-    return scores.join(total, "id", "left").select("id", (F.coalesce("total", F.lit(0.0)) * (1.0 if g.directed else 0.5)).alias("score"))
+    return total.groupBy(F.col("v").alias("id")).agg(F.sum("unit").alias("total"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import with_row_numbers
 from ..model import CyclicGraphError, Graph
 from ..storage import checkpoint
-from . import paths
+from . import kernels, paths
 
 
 def induced(edges: DataFrame, keep: DataFrame) -> DataFrame:
@@ -45,23 +46,53 @@ def ego_graph(g: Graph, center, radius: int = 1) -> Graph:
 
 
 def transitive_closure(g: Graph) -> Graph:
-    """An edge of weight 1 from every node to all it reaches, itself included."""
+    """An edge of weight 1 from every node to all it reaches, itself included: whole components in batches, larger ones in rounds."""
     g.require_directed("the transitive closure")
-    pairs = paths.reach(g, g.nodes.select("id"))
+    from . import parts
+
+    def kernel(part: pd.DataFrame) -> pd.DataFrame:
+        src, dst = kernels.reach_all(zip(part["src"].tolist(), part["dst"].tolist()))
+        return pd.DataFrame({"src": src, "dst": dst}, dtype="int64")
+
+    links = g.edges.filter("src <> dst").select("src", "dst")
+    small, large = parts.split(g, links)
+    found = small.groupBy("batch").applyInPandas(kernel, "src long, dst long")
+    if large is not None:
+        over = parts.rest(g, large)
+        found = found.unionAll(paths.reach(over, over.nodes.select("id")).select("src", "dst"))
+    alone = g.nodes.select("id").join(links.select(F.explode(F.array("src", "dst")).alias("id")), "id", "left_anti")
+    pairs = found.unionAll(alone.select(F.col("id").alias("src"), F.col("id").alias("dst")))
     return replace(g, edges=pairs.select("src", "dst", F.lit(1.0).alias("weight")))
 
 
 def transitive_reduction(g: Graph) -> Graph:
     """Without the edges that a longer way replaces; the graph must be directed and without cycles."""
     g.require_directed("the transitive reduction")
+    from . import parts
+
+    def kernel(part: pd.DataFrame) -> pd.DataFrame:
+        found = kernels.replaced_edges(zip(part["src"].tolist(), part["dst"].tolist()))
+        return pd.DataFrame([(None, None)] if found is None else found, columns=["src", "dst"]).astype("Int64")
+
+    if not g.edges.filter("src = dst").isEmpty():
+        raise CyclicGraphError("the graph has a cycle")
+    small, large = parts.split(g, g.edges.select("src", "dst"))
+    longer = checkpoint(small.groupBy("batch").applyInPandas(kernel, "src long, dst long"))
+    if not longer.filter("src is null").isEmpty():
+        raise CyclicGraphError("the graph has a cycle")
+    if large is not None:
+        longer = longer.unionAll(_replaced(parts.rest(g, large)))
+    return replace(g, edges=g.edges.join(longer, ["src", "dst"], "left_anti").select("src", "dst", "weight"))
+
+
+def _replaced(g: Graph) -> DataFrame:
+    """(src, dst) of what a longer way joins."""
     pairs = checkpoint(paths.reach(g, g.nodes.select("id")).filter("src <> dst").select("src", "dst"))
-    loops = g.edges.filter("src = dst")
     back = pairs.join(g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi")
-    if not loops.isEmpty() or not back.isEmpty():
+    if not back.isEmpty():
         raise CyclicGraphError("the graph has a cycle")
     first = g.edges.select("src", F.col("dst").alias("via")).distinct()
-    longer = first.join(pairs.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").distinct()
-    return replace(g, edges=g.edges.join(longer, ["src", "dst"], "left_anti").select("src", "dst", "weight"))
+    return first.join(pairs.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").distinct()
 
 
 def contract(g: Graph, first, second, keep=None) -> Graph:

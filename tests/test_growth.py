@@ -6,8 +6,8 @@ import random
 
 import pytest
 
-from loomgraph.model import Graph
-from loomgraph.operators import components, matching, metrics, triangles
+from loomgraph.model import CyclicGraphError, Graph
+from loomgraph.operators import centrality, components, connectivity, matching, metrics, parts, transform, triangles
 from loomgraph.plans import graphs
 
 SF = "/root/testdata/sf0.001"
@@ -114,3 +114,68 @@ def test_anf_keeps_a_row_per_node(spark, monkeypatch):
     monkeypatch.setattr(metrics, "checkpoint", lambda df: (counts.append(df.count()), write(df))[1])
     sizes = [r.size for r in metrics.anf(g, 16, 4).collect()]
     assert set(counts) == {12} and sizes == sorted(sizes)
+
+
+@pytest.mark.parametrize("most", [0, 6, 500])
+def test_components_in_batches_and_in_rounds_agree(spark, monkeypatch, most):
+    monkeypatch.setattr(parts, "MOST", most)
+    monkeypatch.setattr(parts, "BATCH", 5)
+    rng = random.Random(7)
+    rows = [(10 * c + a, 10 * c + b, float(rng.randint(1, 3))) for c in range(4) for a, b in itertools.combinations(range(3 + 2 * c), 2) if rng.random() < 0.5]
+    nodes = sorted({v for a, b, _ in rows for v in (a, b)} | {90})
+    g = Graph.from_ids(spark.createDataFrame([*rows, rows[0]], "src long, dst long, weight double"), directed=True, nodes=spark.createDataFrame([(v,) for v in nodes], "id long"))
+    reached = {(v, v) for v in nodes}
+    while True:
+        more = {(s, b) for s, t in reached for a, b, _ in rows if a == t} - reached
+        if not more:
+            break
+        reached |= more
+    assert sorted((r.src, r.dst) for r in transform.transitive_closure(g).edges.collect()) == sorted(reached)
+    kept = [e for e in [*rows, rows[0]] if not any(a == e[0] and b != e[1] and (b, e[1]) in reached for a, b, _ in rows)]
+    assert sorted(tuple(r) for r in transform.transitive_reduction(g).edges.collect()) == sorted(kept)
+    core = {r.id: r.core for r in connectivity.core_numbers(g).collect()}
+    for k in range(1, 7):
+        left = set(nodes)
+        while weak := {v for v in left if sum((a == v and b in left) or (b == v and a in left) for a, b, _ in rows) < k}:
+            left -= weak
+        assert {v for v in nodes if core[v] >= k} == left
+    for weighted in (False, True):
+        paths_to = {}
+        for s in nodes:
+            best, ways = {s: 0.0}, {s: 1.0}
+            for v in nodes:  # ids are a topological order here
+                for a, b, w in [*rows, rows[0]]:
+                    if b == v and a in best:
+                        d = best[a] + (w if weighted else 1.0)
+                        if d < best.get(v, float("inf")):
+                            best[v], ways[v] = d, 0.0
+                        if d == best[v]:
+                            ways[v] += ways[a]
+            paths_to[s] = best, ways
+        expected = {}
+        for v in nodes:
+            expected[v] = sum(
+                paths_to[s][1][v] * paths_to[v][1][t] / paths_to[s][1][t]
+                for s, t in reached if s != v != t and s != t and (s, v) in reached and (v, t) in reached and paths_to[s][0][v] + paths_to[v][0][t] == paths_to[s][0][t]
+            )
+        assert {r.id: r.score for r in centrality.betweenness(g, weighted).collect()} == pytest.approx(expected)
+
+
+def test_cycles_in_any_component_are_refused(spark, monkeypatch):
+    g = Graph.from_ids(spark.createDataFrame([(1, 2), (5, 6), (6, 7), (7, 5)], "src long, dst long"), directed=True)
+    for most in (0, 500):
+        monkeypatch.setattr(parts, "MOST", most)
+        with pytest.raises(CyclicGraphError):
+            transform.transitive_reduction(g).edges.collect()
+
+
+def test_bridges_come_from_batches_of_components(spark, monkeypatch):
+    monkeypatch.setattr(parts, "BATCH", 1_000)
+    pairs = [(10 * c + a, 10 * c + b) for c in range(50) for a, b in ((0, 1), (1, 2), (2, 0), (2, 3))]
+    g = Graph.from_ids(spark.createDataFrame(pairs, "src long, dst long"), directed=False, distinct=True)
+    seen = []
+    batched = parts.batched
+    monkeypatch.setattr(parts, "batched", lambda rows: (seen.append(batched(rows)), seen[0])[1])
+    bridges, cuts = connectivity.bridges_and_articulation_points(g)
+    assert sorted(tuple(r) for r in bridges.collect()) == [(10 * c + 2, 10 * c + 3) for c in range(50)] and sorted(r[0] for r in cuts.collect()) == [10 * c + 2 for c in range(50)]
+    assert seen[0].select("batch").distinct().count() <= 4 < seen[0].select("component").distinct().count()
